@@ -25,6 +25,25 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.llm.substring import digest, remove_repeats
+
+    return digest(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+#: Every 50-word window, its smallest document, and what is left of each text.
+OP9_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM starts),
+hit AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM wins),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM hit WHERE again),
+lists AS (SELECT doc_id, list(pos) AS poss, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, p: NOT list_contains(poss, p)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)"""
+
+
 def op10_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.llm.packing import pack
 
@@ -32,8 +51,8 @@ def op10_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op7_simhash_bktree, op10_ordered_packing)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op7_simhash_bktree, op9_repeated_windows, op10_ordered_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_repeated_windows": OP9_SQL}
