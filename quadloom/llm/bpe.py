@@ -10,21 +10,41 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from quadloom.llm.common import gather, spans, words
+from quadloom.llm.common import gather, spans
 
-#: Words kept by a worker; when full, the cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Words (without marks behind them) kept by a worker, in two halves: when the young half is full it becomes the old one,
+#: and words met again move over from the old half that is dropped next.
+CACHE_WORDS = 400_000
 #: A word ends a sentence if it ends in one of these.
-SENTENCE_ENDS = (b".", b"!", b"?", "…".encode(), "。".encode())
-#: Small Latin letters, which no normalization changes, then marks: these are one or two pre-tokens.
-PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)").fullmatch
+SENTENCE_END = "[.!?\u2026\u3002]$"
+#: Small Latin letters, which no normalization changes, with marks behind them: one or two pre-tokens.
+LETTERS, MARKS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+", "[.,!?;:]+"
+MARKED, PIECE = f"^({LETTERS})({MARKS})$", f"^({LETTERS}|{MARKS})$"
 JOINED_WORDS = 2000
 
 
+class Words:
+    """Ids of some words in a row, and which words end a sentence."""
+
+    def __init__(self) -> None:
+        self.code: dict[bytes, int] = {}
+        self.flat, self.starts, self.lengths, self.ends = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+
+    def add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> None:
+        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + spans(lengths)[:-1]])
+        kind = np.uint16 if self.flat.dtype == np.uint16 and (not len(flat) or flat.max() < 1 << 16) else np.uint32
+        self.flat = np.concatenate([self.flat.astype(kind, copy=False), flat.astype(kind)])
+        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, ends])
+
+
 class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,57 +61,79 @@ class WordIds:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         suffix = spec["model"]["end_of_word_suffix"]
         self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths, self.ends = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        self.young, self.old = Words(), Words()
 
-    def learn(self, new: list[bytes]) -> None:
-        plain, parts, others = [], [], []
-        for word in new:
-            text = word.decode()
-            if m := PLAIN(text.lower()):
-                plain.append(word)
-                parts.append(m.groups())
-            else:
-                others.append(word)
-        flats, lengths = [], []
+    def _tokenize(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the pieces (plain ones first), their ids in a row and how many each has."""
+        plain = pc.match_substring_regex(new, PIECE).to_numpy(zero_copy_only=False)
+        flats, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        parts = new.filter(pa.array(plain)).to_pylist()
         for i in range(0, len(parts), JOINED_WORDS):
-            some = parts[i : i + JOINED_WORDS]
-            ids = np.array(self.joined.encode_batch_fast([" ".join([f"{a} {b}" if b else a for a, b in some])], add_special_tokens=False)[0].ids, np.int64)
-            pieces = np.cumsum([2 if b else 1 for _, b in some])
+            # A plain piece is one pre-token, so exactly its last id ends a word.
+            ids = np.array(self.joined.encode_batch_fast([" ".join(parts[i : i + JOINED_WORDS])], add_special_tokens=False)[0].ids, np.int64)
             flats.append(ids)
-            lengths.append(np.diff(np.flatnonzero(self.is_end[ids])[pieces - 1], prepend=-1))
-        if others:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)]
+            lengths.append(np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1))
+        if others := new.filter(pa.array(~plain)).to_pylist():
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
             flats.append(np.array([i for ids in each for i in ids], np.int64))
-            lengths.append(np.array(list(map(len, each))))
-        added = np.concatenate(lengths)
-        self.code.update(zip(plain + others, range(len(self.code), len(self.code) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + spans(added)[:-1]])
-        flat = np.concatenate(flats)
-        kind = np.uint16 if self.flat.dtype == np.uint16 and (not len(flat) or flat.max() < 1 << 16) else np.uint32
-        self.flat = np.concatenate([self.flat.astype(kind, copy=False), flat.astype(kind)])
-        self.lengths = np.concatenate([self.lengths, added.astype(np.int32)])
-        self.ends = np.concatenate([self.ends, np.array([w.endswith(SENTENCE_ENDS) for w in plain + others], bool)])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in a row, the offsets of each text among them, and the offsets just behind sentence ends."""
+            lengths.append(np.array(list(map(len, each)), np.int64))
+        return np.argsort(~plain, kind="stable"), np.concatenate(flats), np.concatenate(lengths)
+
+    def _codes(self, distinct: pa.Array) -> np.ndarray:
+        """Places in self.young of distinct pieces."""
+        names = distinct.cast(pa.binary()).to_pylist()
+        if len(self.young.code) + len(names) > CACHE_WORDS // 2 and self.young.code:
+            self.young, self.old = Words(), self.young
+        found = np.fromiter((self.young.code.get(w, -1) for w in names), np.int64, len(names))
+        if (absent := np.flatnonzero(found < 0)).size:
+            before = np.fromiter((self.old.code.get(names[i], -1) for i in absent), np.int64, len(absent))
+            again, at = absent[before >= 0], before[before >= 0]
+            if len(again):
+                lengths = self.old.lengths[at].astype(np.int64)
+                found[again] = len(self.young.code) + np.arange(len(again))
+                self.young.add([names[i] for i in again], gather(self.old.flat, self.old.starts[at], lengths), lengths, self.old.ends[at])
+            if (fresh := absent[before < 0]).size:
+                words = distinct.take(pa.array(fresh))
+                order, flat, lengths = self._tokenize(words)
+                found[fresh[order]] = len(self.young.code) + np.arange(len(fresh))
+                self.young.add([names[i] for i in fresh[order]], flat, lengths, pc.match_substring_regex(words, SENTENCE_END).to_numpy(zero_copy_only=False)[order])
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, the offsets of each text among them, and the offsets just behind sentence ends. Nulls count as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         # The tokenizer lower-cases; special tokens, which it looks for first, hold "<|".
-        split = [words(t if b"<|" in t else t.lower()) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        every = [w for ws in split for w in ws]
-        new = set(every).difference(self.code)
-        if len(self.code) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = set(every)
-        if new:
-            self.learn(list(new))
-        codes = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
-        lengths = self.lengths[codes].astype(np.int64)
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        at = np.asarray(lists.offsets)
+        coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        if not len(coded):
+            return np.empty(0, np.uint32), at - at[0], np.empty(0, np.int64)
+        # A word of letters and marks is looked up as two pieces, so that its letters are met again.
+        lower = pc.utf8_lower(coded.dictionary)
+        # Dotted capital I is the one letter whose full lower case differs from the simple one.
+        marked = pc.and_not(pc.match_substring_regex(lower, MARKED), pc.match_substring(coded.dictionary, "\u0130"))
+        pieces = pc.ascii_split_whitespace(pc.if_else(marked, pc.replace_substring_regex(lower, MARKED, r"\1 \2"), coded.dictionary))
+        piece = pieces.values.dictionary_encode()
+        first = np.asarray(pieces.offsets).astype(np.int64)
+        word = coded.indices.to_numpy()
+        count = np.diff(first)[word]
+        codes = gather(self._codes(piece.dictionary)[piece.indices.to_numpy()], first[word], count)
+        lengths = self.young.lengths[codes].astype(np.int64)
         behind = spans(lengths)
-        return gather(self.flat, self.starts[codes], lengths).astype(np.uint32), behind[spans(counts)], behind[1:][self.ends[codes]]
+        ids = gather(self.young.flat, self.young.starts[codes], lengths).astype(np.uint32)
+        return ids, behind[spans(count)][at - at[0]], behind[1:][self.young.ends[codes]]
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, so that fewer words are looked up again."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 @functools.lru_cache(maxsize=2)

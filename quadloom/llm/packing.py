@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.bpe import default_path, word_ids
-from quadloom.llm.common import column, documents, spans, tune
+from quadloom.llm.bpe import default_path, regrouped, word_ids
+from quadloom.llm.common import documents, spans, tune
 
 SIZE, END_ID = 2048, 1
 #: Costs in padded tokens.
@@ -145,10 +145,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int,
             names.append("ids")
         return pa.RecordBatch.from_arrays(made, names=names)
 
-    for batch in batches:
+    for batch in regrouped(batches):
         if not batch.num_rows:
             continue
-        ids, offsets, ends = word_ids(path).encode(column(batch, "text"))
+        ids, offsets, ends = word_ids(path).encode(batch.column(1))
         # Each document's end id moves what follows it by one.
         moved = ends + np.searchsorted(offsets[1:], ends, "left")
         buffer.add(np.insert(ids, offsets[1:], end_id), moved, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets) + 1)

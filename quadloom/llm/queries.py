@@ -45,6 +45,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (100 * (word_chars - left_chars) > 50 * word_chars) AS kept FROM m"""
 
 
+def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.llm.langid import predict
+
+    return predict(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.llm.toxicity import predict
+
+    return predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.llm.simhash import near_duplicates
 
@@ -78,7 +90,7 @@ def op10_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_line_quality, op7_simhash_bktree, op9_repeated_windows, op10_ordered_packing)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_line_quality, op3_language_bitmask, op6_toxicity_gru, op7_simhash_bktree, op9_repeated_windows, op10_ordered_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

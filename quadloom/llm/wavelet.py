@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.llm.bpe import default_path, word_ids
-from quadloom.llm.common import column, documents, shared_dir, spans, tune
+from quadloom.llm.bpe import default_path, regrouped, word_ids
+from quadloom.llm.common import documents, shared_dir, spans, tune
 
 MAGIC, BLOCK = b"QLWM1\0", 512
 #: Tokens after which a task closes a shard; a document is never split over two.
@@ -154,10 +154,10 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: in
         block, base, held, size = block + 1, base + len(ids), [], 0
         return row
 
-    for batch in batches:
+    for batch in regrouped(batches):
         if not batch.num_rows:
             continue
-        ids, offsets, _ = word_ids(path).encode(column(batch, "text"))
+        ids, offsets, _ = word_ids(path).encode(batch.column(1))
         docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         held.append((np.insert(ids, offsets[1:], end_id), docs, np.diff(offsets) + 1))
         size += len(ids) + len(docs)
