@@ -20,7 +20,7 @@ from quadloom.llm.common import gather, spans
 
 #: Words (without marks behind them) kept by a worker, in two halves: when the young half is full it becomes the old one,
 #: and words met again move over from the old half that is dropped next.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: A word ends a sentence if it ends in one of these.
 SENTENCE_END = "[.!?\u2026\u3002]$"
 #: Small Latin letters, which no normalization changes, with marks behind them: one or two pre-tokens.
@@ -124,7 +124,7 @@ class WordIds:
         return ids, behind[spans(count)][at - at[0]], behind[1:][self.young.ends[codes]]
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def regrouped(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, so that fewer words are looked up again."""
     held: list[pa.RecordBatch] = []
     for batch in batches:

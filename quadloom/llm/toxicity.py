@@ -1,31 +1,37 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its own embedding (hashed) beside the mean of its character trigrams'
-embeddings. Overlapping windows of ``WINDOW`` words, ``STRIDE`` apart and covering every word,
+A word's input is its own embedding (hashed) beside the mean of the embeddings
+of its character n-grams (3 to 5). Overlapping windows of ``WINDOW`` words, ``STRIDE`` apart and covering every word,
 run through one GRU in each direction; attention weighs the states, a logistic unit scores
 them, and a text's score is that of its worst window.
 
 Labels are of whole texts. Training therefore picks from each text the window that counts: at
-first the one with the highest log-odds of its trigrams, later the network's own worst window
+first the one with the highest log-odds of an n-gram, later the network's own worst window
 (for clean texts too, which makes them hard negatives).
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, map_batches, spans, words
+from quadloom.llm.common import column, documents, gather, map_batches, spans, words
 from quadloom.llm.langid import bucket
 
 WINDOW, STRIDE = 32, 16
-WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 13, 8, 8, 8
+WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ORDERS = 1 << 13, 1 << 16, 4, 12, 8, (3, 4, 5)
 #: Bound of the fit: labelled texts of each class (by a hash of doc_id).
 TRAIN_DOCS = 1200
-EPOCHS, BATCH, RATE, THRESHOLD = 9, 128, 0.01, 0.7
+EPOCHS, OWN_FROM, BATCH, RATE, DECAY, THRESHOLD = 10, 5, 128, 0.01, 1e-4, 0.7
+#: An n-gram's log-odds count from so many training texts on.
+LEAST_TEXTS = 4
+#: Part of the words whose own embedding is hidden in training, so that n-grams must do.
+HIDE = 0.5
 CACHE_WORDS = 200_000
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -35,18 +41,29 @@ def tokens(text: bytes) -> list[bytes]:
     return words(text.lower().translate(_PLAIN))
 
 
-def word_inputs(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding row of each word; rows of all its trigrams, and their offsets."""
+def word_inputs(vocabulary: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Embedding row of each word; for each order the rows of all character n-grams, and the words' offsets among them."""
     hashed = np.frombuffer(b"".join([xxhash.xxh32_digest(w) for w in vocabulary]), ">u4").astype(np.int64) % WORD_ROWS
-    data = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in vocabulary]), np.uint8).astype(np.uint32)
-    lengths = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-    key = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-    rows = ((key * np.uint32(2654435761)) >> np.uint32(11)).astype(np.int64) % CHAR_ROWS
-    # A word of n bytes has n trigrams; the two keys that reach into the next word are left out.
-    keep = np.ones(len(data), bool)
-    ends = np.cumsum(lengths + 2)
-    keep[ends - 1] = keep[ends - 2] = False
-    return hashed, rows[keep[: len(rows)]], spans(lengths)
+    data = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in vocabulary]), np.uint8)
+    owner = np.repeat(np.arange(len(vocabulary)), np.fromiter((len(w) + 2 for w in vocabulary), np.int64, len(vocabulary)))
+    found = []
+    for order in ORDERS:
+        n = max(len(data) - order + 1, 0)
+        key = np.full(n, order, np.uint64)
+        for i in range(order):
+            key = key << np.uint64(8) | data[i : i + n]
+        inside = owner[:n] == owner[len(owner) - n :]
+        rows = ((key[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % CHAR_ROWS
+        found.append((rows, spans(np.bincount(owner[:n][inside], minlength=len(vocabulary)))))
+    return hashed, found
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs, some of which may be empty."""
+    padded = np.concatenate([values, np.zeros((1, *values.shape[1:]), values.dtype)])
+    out = np.add.reduceat(padded, at[:-1], axis=0)
+    out[np.diff(at) == 0] = 0
+    return out
 
 
 def windows(n: int) -> np.ndarray:
@@ -71,10 +88,10 @@ class Network:
         }
 
     def embed(self, vocabulary: list[bytes]) -> tuple[np.ndarray, tuple]:
-        own, rows, at = word_inputs(vocabulary)
-        sums = np.add.reduceat(np.concatenate([self.p["char"][rows], np.zeros((1, CHAR_DIM), np.float32)]), at[:-1], axis=0)
-        n = np.maximum(np.diff(at), 1)[:, None]
-        return np.concatenate([self.p["word"][own], sums / n], axis=1).astype(np.float32), (own, rows, at, n)
+        own, grams = word_inputs(vocabulary)
+        n = np.maximum(sum(np.diff(at) for _, at in grams), 1)[:, None]
+        sums = sum(_sums(self.p["char"][rows], at) for rows, at in grams)
+        return np.concatenate([self.p["word"][own], sums / np.sqrt(n)], axis=1).astype(np.float32), (own, grams, np.sqrt(n))
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Input parts of the gates, (direction, word, 3 * HIDDEN)."""
@@ -154,10 +171,11 @@ class Network:
         g["b"] = d_gates.sum(1, keepdims=True)
         g["w"] = x.T @ d_gates
         dx = (d_gates @ p["w"].transpose(0, 2, 1)).sum(0)
-        own, rows, at, count = parts
+        own, grams, count = parts
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         np.add.at(g["word"], own, dx[:, :WORD_DIM])
-        np.add.at(g["char"], rows, np.repeat(dx[:, WORD_DIM:] / count, np.diff(at), axis=0))
+        for rows, at in grams:
+            np.add.at(g["char"], rows, np.repeat((dx[:, WORD_DIM:] / count).astype(np.float32), np.diff(at), axis=0))
         return g
 
 
@@ -194,21 +212,21 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network | No
         return None
     net, rng = Network(seed), np.random.default_rng(seed)
     y = labels.astype(np.float32)
-    # Log-odds of trigrams by the texts that hold them, then of words, then of windows.
-    _, rows, at = word_inputs(data.vocabulary)
+    # Log-odds of n-grams by the texts that hold them; a window is as good as its best n-gram.
+    _, grams = word_inputs(data.vocabulary)
     held = np.zeros((2, CHAR_ROWS), np.float32)
     for d, label in zip(data.docs, labels, strict=True):
         if len(d):
-            own = np.unique(np.concatenate([rows[at[w] : at[w + 1]] for w in np.unique(d)]))
-            held[int(label), own] += 1
+            used = np.unique(d)
+            held[int(label), np.unique(np.concatenate([gather(rows, at[used], np.diff(at)[used]) for rows, at in grams]))] += 1
     odds = np.log((held[1] + 0.5) / (y.sum() + 1)) - np.log((held[0] + 0.5) / (len(y) - y.sum() + 1))
-    word_odds = np.add.reduceat(np.append(odds[rows], 0), at[:-1]) / np.maximum(np.diff(at), 1)
-    score = np.where(data.mask, word_odds[data.index], -1e9).max(1)
-    x, parts = net.embed(data.vocabulary)
+    odds[held.sum(0) < LEAST_TEXTS] = 0
+    word_odds = np.max([np.maximum.reduceat(np.append(odds[rows], 0), at[:-1]) * (np.diff(at) > 0) for rows, at in grams], axis=0)
+    score = np.where(data.mask, word_odds[data.index], 0).sum(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        if epoch >= 4:
+        if epoch >= OWN_FROM:
             gates = net.project(net.embed(data.vocabulary)[0])
             score = np.concatenate([net.score(gates, data.index[i : i + 4096], data.mask[i : i + 4096]) for i in range(0, len(data.owner), 4096)])
         chosen = data.worst(score)
@@ -221,12 +239,13 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network | No
             index, mask = data.index[some], data.mask[some]
             used, small = np.unique(index, return_inverse=True)
             x, parts = net.embed([data.vocabulary[k] for k in used])
+            x[rng.random(len(x)) < HIDE, :WORD_DIM] = 0
             step += 1
             for k, g in net.gradients(x, parts, small.reshape(index.shape), mask, target[i : i + BATCH], balance[i : i + BATCH] / len(some)).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                net.p[k] = net.p[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+                net.p[k] = net.p[k] * (1 - DECAY) - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
     return net
 
 
@@ -272,7 +291,8 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+#: The worker's scorer, by the model it was made for.
+_scorers: dict[str, Scorer] = {}
 
 
 def score_texts(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -281,20 +301,19 @@ def score_texts(docs: DataFrame, net: Network | None) -> DataFrame:
     A null text, a text without words, and every text where nothing could be learned scores 0.
     Repeated rows and null doc_ids stay as they are; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model, name = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         texts = column(batch, "text")
         if model.value is None:
             score = np.zeros(len(texts))
         else:
-            if model.id not in _scorers:
+            if name not in _scorers:
                 _scorers.clear()
-                _scorers[model.id] = Scorer(model.value)
-            score = _scorers[model.id].scores(texts)
+                _scorers[name] = Scorer(model.value)
+            score = _scorers[name].scores(texts)
         return {"doc_id": batch.column(0), "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)}
 
-    model.id = getattr(model, "_jbroadcast").id()
     return map_batches(documents(docs), per_batch, "doc_id long, score double, predicted int")
 
 
