@@ -51,6 +51,18 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(_table(spark, sf_dir, "documents"))
 
 
+def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.llm.wordpiece import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op5_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.llm.linedup import remove_lines
+
+    return remove_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.llm.toxicity import predict
 
@@ -90,7 +102,7 @@ def op10_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_line_quality, op3_language_bitmask, op6_toxicity_gru, op7_simhash_bktree, op9_repeated_windows, op10_ordered_packing)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_line_quality, op3_language_bitmask, op4_wordpiece_counts, op5_patience_lines, op6_toxicity_gru, op7_simhash_bktree, op9_repeated_windows, op10_ordered_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
