@@ -46,11 +46,11 @@ def encode_shard(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> b
     parts = [pack(np.ascontiguousarray(doc_ids, "<i8").tobytes()), pack(np.ascontiguousarray(lengths, "<u4").tobytes())]
     now = ids.astype(np.uint16 if width <= 16 else np.uint32)
     for level in range(width - 1, -1, -1):
-        ones = (now >> level & 1).astype(bool)
+        ones = (now & now.dtype.type(1 << level)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         parts += [pack(packed.tobytes()), pack(_popcounts(packed).astype("<u4").tobytes())]
         if level:
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([now.compress(~ones), now.compress(ones)])
     head = struct.pack("<6sBQQ", MAGIC, width, len(ids), len(doc_ids)) + struct.pack(f"<{len(parts)}Q", *map(len, parts))
     return head + b"".join(parts)
 
@@ -134,8 +134,9 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(now)
-            back[~ones] = now[: self.zeros[level]]
-            back[ones] = now[self.zeros[level] :] | now.dtype.type(1 << (self.width - 1 - level))
+            # Places by flatnonzero: several times faster than a boolean mask on mixed bits.
+            back[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            back[np.flatnonzero(ones)] = now[self.zeros[level] :] | now.dtype.type(1 << (self.width - 1 - level))
             now = back
         return now.astype(np.uint32)
 
