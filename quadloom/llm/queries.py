@@ -76,6 +76,12 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.llm.decontam import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.llm.substring import digest, remove_repeats
 
@@ -102,7 +108,7 @@ def op10_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_line_quality, op3_language_bitmask, op4_wordpiece_counts, op5_patience_lines, op6_toxicity_gru, op7_simhash_bktree, op9_repeated_windows, op10_ordered_packing)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_line_quality, op3_language_bitmask, op4_wordpiece_counts, op5_patience_lines, op6_toxicity_gru, op7_simhash_bktree, op8_latent_decontamination, op9_repeated_windows, op10_ordered_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
