@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, map_batches
+from quadloom.llm.common import column, documents, map_batches, tune
 
 ORDERS = (3, 5)
 ROWS, HASHES = 1 << 19, 3
@@ -155,3 +155,18 @@ def predict(docs: DataFrame) -> DataFrame:
     """Learn from the rows whose crc32(doc_id) mod 4 is not 2 and predict every row."""
     learn = documents(docs, F.col("lang").cast("string").alias("lang")).filter(F.coalesce(bucket(F.col("doc_id"), 4) != 2, F.lit(False)))
     return identify(docs, train(learn)).select("doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, filters: Filters | None, min_score: float) -> DataFrame:
+    """The rows of docs, all columns, whose text is of a learned language with this score or more."""
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for batch in batches:
+            filters, texts = model.value, column(batch, "text")
+            if filters is not None and texts:
+                letters = np.array([bool(LETTER.search(t.decode())) for t in texts])
+                yield batch.filter(pa.array(letters & (filters.decide(texts)[1] >= min_score)))
+
+    tune(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
