@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.aggregate import AGGREGATES
-from quadloom.functions.scalar import FUNCTIONS, ebv, of_integer, order_key
+from quadloom.functions.scalar import FUNCTIONS, V, call, ebv, of_integer, order_key
 from quadloom.model import BNODE, IRI, LITERAL, TERM, iri, term
 from quadloom.operators import joins, paths
 from quadloom.operators.cardinality import Statistics
@@ -162,7 +162,7 @@ class Planner:
 
     def _extend(self, op: A.Extend) -> Solutions:
         now = self.run(op.child)
-        value = self.expression(op.value, _sight(now))
+        value = self.expression(op.value, _sight(now)).term()
         return Solutions(now.df.withColumn(op.name, value), now.variables | {op.name: True})
 
     def _values(self, op: A.Values) -> Solutions:
@@ -190,15 +190,15 @@ class Planner:
     def _group(self, op: A.Group) -> Solutions:
         now = self.run(op.child)
         sight = _sight(now)
-        keys = [self.expression(e, sight).alias(name) for name, e in op.keys]
+        keys = [self.expression(e, sight).term().alias(name) for name, e in op.keys]
         made = []
         for name, a in op.aggregates:
             if a.arg is None:
                 if a.distinct:
                     whole = F.struct(*[F.coalesce(F.to_json(F.col(f"`{v}`")), F.lit("")) for v in now.variables] or [F.lit(1)])
-                    made.append(of_integer(F.count_distinct(whole)).alias(name))
+                    made.append(of_integer(F.count_distinct(whole)).term().alias(name))
                 else:
-                    made.append(of_integer(F.count(F.lit(1))).alias(name))
+                    made.append(of_integer(F.count(F.lit(1))).term().alias(name))
             else:
                 made.append(AGGREGATES[a.name](self.expression(a.arg, sight), a.distinct, a.separator).alias(name))
         df = now.df.groupBy(*keys).agg(*made) if made else now.df.select(*keys).distinct()
@@ -228,15 +228,15 @@ class Planner:
         return now.with_df(df if op.limit is None else df.limit(op.limit))
 
     # Expressions
-    def expression(self, e: A.Expr, sight: dict[str, Column]) -> Column:
+    def expression(self, e: A.Expr, sight: dict[str, Column]) -> V:
         if isinstance(e, A.Value):
             if isinstance(e.node, A.Term):
-                return constant(e.node)
-            return sight.get(e.node.name, F.lit(None).cast(TERM))
+                return V.constant(e.node.kind, e.node.value, e.node.dt, e.node.lang)
+            return V.of(sight.get(e.node.name, F.lit(None).cast(TERM)))
         if isinstance(e, A.Call):
             if e.name not in FUNCTIONS:
                 raise ValueError(f"unknown function {e.name}")
-            return FUNCTIONS[e.name](*[self.expression(a, sight) for a in e.args])
+            return call(e.name, [self.expression(a, sight) for a in e.args])
         raise NotImplementedError(f"{type(e).__name__} in this place")
 
     # Query forms

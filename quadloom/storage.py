@@ -1,15 +1,26 @@
-"""Reliable intermediate tables."""
+"""Reliable intermediate tables, in the folder all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir (a folder of our own where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own where none is set, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-"))
+    return (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage ends in a reliable checkpoint."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
