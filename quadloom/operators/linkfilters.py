@@ -32,6 +32,21 @@ def build(values: DataFrame, key: str, value: str, bits: int, k: int) -> DataFra
     return found.select(key, F.lit(bits).alias("bits"), F.lit(k).alias("k"), "positions")
 
 
+def bitmap_positions(bitmap: Column) -> Column:
+    """Set bits of a base64 bitmap, the lowest bit of a byte first; null where it can't be read."""
+    raw = F.hex(F.try_to_binary(bitmap, F.lit("base64")))
+    byte = lambda i: F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    bits = F.flatten(F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.when(F.getbit(byte(i.cast("int")), b) == 1, (8 * i + b).cast("bigint"))), lambda x: x.isNotNull())))
+    return F.when(F.length(raw) > 0, bits)
+
+
+def bitmap(positions_set: Column, bits: Column | int) -> Column:
+    """Base64 bitmap of set positions."""
+    size = F.ceil((bits if isinstance(bits, Column) else F.lit(bits)) / 8).cast("int")
+    one = lambda i: F.aggregate(F.filter(positions_set, lambda p: (p / 8).cast("int") == i), F.lit(0), lambda a, p: a.bitwiseOR(F.pow(F.lit(2), p % 8).cast("int")))
+    return F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(one(i)), 2, "0")), "")))
+
+
 def contains(positions_set: Column, value: Column, bits: Column, k: Column) -> Column:
     return F.forall(positions(value, bits, k), lambda p: F.array_contains(positions_set, p))
 

@@ -157,3 +157,66 @@ def test_plans_read_only_what_they_need(spark):
     plan = Engine(spark, quads).query("SELECT ?n { ?c <urn:p:c_nationkey> <urn:nation:3> ; <urn:p:c_name> ?n }")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2 and "o_orderkey" not in plan and "Union" not in plan and "BatchEvalPython" not in plan
     assert F.col("x") is not None
+
+
+def test_bitmaps(spark):
+    df = spark.createDataFrame([([0, 3, 9, 255],), ([7],), ([],)], "p array<bigint>").select("p", linkfilters.bitmap(F.col("p"), 256).alias("b"))
+    assert all(sorted(r.back) == sorted(r.p) for r in df.select("p", linkfilters.bitmap_positions(F.col("b")).alias("back")).collect())
+    assert spark.range(1).select(linkfilters.bitmap_positions(F.lit("!!")).alias("x")).collect()[0].x is None
+
+
+def test_documents_of_all_syntaxes(spark):
+    from quadloom.sources.documents import parse_documents
+
+    docs = [
+        ("http://e/ttl", "@prefix : <http://p/> . @base <http://b/> .\n<x> a :T ; :p 1, 'two'@en, (1.5 true) ; :q [ :r <y> ] .\n_:z :p _:z .", "text/turtle; charset=utf-8"),
+        ("http://e/trig", "PREFIX : <http://p/>\n{ :a :b :c } :g { :a :b 1e0 . } GRAPH <h> { :a :b '''x''' }", "application/trig"),
+        ("http://e/xml", """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:p="http://p/"><p:T rdf:about="x" p:name="n"><p:k rdf:resource="http://o"/><p:v xml:lang="EN">t</p:v><p:w rdf:datatype="http://d">3</p:w><p:in><rdf:Description/></p:in></p:T></rdf:RDF>""", "application/rdf+xml"),
+        ("http://e/json", '{"@context": {"@vocab": "http://p/", "k": {"@type": "@id"}, "s": "http://s/"}, "@id": "x", "@type": "T", "k": "y", "n": [1, 2.5, true, null], "s:l": {"@value": "t", "@language": "EN"}, "in": {"v": "w"}, "li": {"@list": ["a"]}}', "application/ld+json"),
+        ("http://e/html", '<html><script type="application/ld+json">{"@id": "http://a", "http://p/b": "c"}</script></html>', "text/html"),
+        ("http://e/nt", "<urn:a> <urn:b> <urn:c> .\nbroken", "application/n-triples"),
+        ("http://e/bad", "this is not turtle", "text/turtle"), ("http://e/png", "x", "image/png"), (None, None, None),
+    ]
+    got = {}
+    for r in parse_documents(spark.createDataFrame(docs, "url string, content string, media_type string")).collect():
+        got.setdefault(r.src, set()).add((r.g, r.s if r.s_kind == 2 else "_", r.p.rsplit("/", 1)[-1].rsplit("#", 1)[-1], r.o if r.o_kind != 1 else "_", r.o_lang))
+    assert got["http://e/ttl"] == {("", "http://b/x", "type", "http://p/T", ""), ("", "http://b/x", "p", "1", ""), ("", "http://b/x", "p", "two", "en"), ("", "http://b/x", "p", "_", ""), ("", "_", "first", "1.5", ""), ("", "_", "rest", "_", ""), ("", "_", "first", "true", ""), ("", "_", "rest", "http://www.w3.org/1999/02/22-rdf-syntax-ns#nil", ""), ("", "http://b/x", "q", "_", ""), ("", "_", "r", "http://b/y", ""), ("", "_", "p", "_", "")}
+    assert got["http://e/trig"] == {("", "http://p/a", "b", "http://p/c", ""), ("http://p/g", "http://p/a", "b", "1e0", ""), ("http://e/h", "http://p/a", "b", "x", "")}
+    assert got["http://e/xml"] == {("", "http://e/x", "type", "http://p/T", ""), ("", "http://e/x", "name", "n", ""), ("", "http://e/x", "k", "http://o", ""), ("", "http://e/x", "v", "t", "en"), ("", "http://e/x", "w", "3", ""), ("", "http://e/x", "in", "_", "")}
+    assert got["http://e/json"] == {("", "http://e/x", "type", "http://p/T", ""), ("", "http://e/x", "k", "http://e/y", ""), ("", "http://e/x", "n", "1", ""), ("", "http://e/x", "n", "2.5", ""), ("", "http://e/x", "n", "true", ""), ("", "http://e/x", "l", "t", "en"), ("", "http://e/x", "in", "_", ""), ("", "_", "v", "w", ""), ("", "http://e/x", "li", "_", ""), ("", "_", "first", "a", ""), ("", "_", "rest", "http://www.w3.org/1999/02/22-rdf-syntax-ns#nil", "")}
+    assert got["http://e/html"] == {("", "http://a", "b", "c", "")} and len(got["http://e/nt"]) == 1 and len(got) == 6
+
+
+def test_link_traversal_with_filters(spark):
+    from quadloom.operators.hypermedia import LinkTraversal
+
+    see, void, mem = traversal.COMMON[0], linkfilters.VOID, linkfilters.MEM
+    at = _filter(spark, ["urn:bob"], 64, 3)
+    packed = spark.createDataFrame([(at,)], "p array<bigint>").select(linkfilters.bitmap(F.col("p"), 64).alias("b")).collect()[0].b
+    lines = f"""http://a/1 <http://a/1> <{see}> <http://a/2> .
+http://a/1 <http://a/1> <{see}> <http://b/1> .
+http://a/1 <http://a/1> <{see}> <http://c/1> .
+http://a/1 <urn:ann> <urn:knows> <urn:bob> .
+http://a/1 <urn:vd> <{void}sparqlEndpoint> <http://b/sparql> .
+http://a/1 <urn:vd> <{void}uriSpace> "http://b/" .
+http://a/1 <urn:mc> <{mem}sourceCollection> <http://c/> .
+http://a/1 <urn:mc> <{mem}projectedProperty> <urn:knows> .
+http://a/1 <urn:mf> <{mem}memberCollection> <urn:mc> .
+http://a/1 <urn:mf> <{mem}hashFunction> <urn:mh> .
+http://a/1 <urn:mf> <{mem}bitSize> "64" .
+http://a/1 <urn:mf> <{mem}binaryRepresentation> "{packed}" .
+http://a/1 <urn:mh> <{mem}hashSize> "3" .
+http://a/2 <urn:eve> <urn:knows> <urn:bob> .
+http://b/1 <urn:ben> <urn:knows> <urn:bob> .
+http://c/1 <urn:cat> <urn:knows> <urn:bob> .
+http://c/1 <urn:cat> <urn:knows> <urn:dan> .
+http://z/9 <urn:zed> <urn:knows> <urn:bob> ."""
+    quads = rdf.parse_lines(spark.createDataFrame([tuple(x.split(" ", 1)) for x in lines.split("\n")], "src string, value string")).drop("src")
+    quads = spark.createDataFrame([(*q, x.split(" ", 1)[0]) for q, x in zip((tuple(r) for r in quads.collect()), lines.split("\n"), strict=True)], QUADS)
+
+    def names(text, **options):
+        return {r.x.value[4:] for r in LinkTraversal(quads, **options).query(text, ["http://a/1"]).collect()}
+
+    bob, dan = "SELECT ?x { ?x <urn:knows> <urn:bob> }", "SELECT ?x { ?x <urn:knows> <urn:dan> }"
+    assert names(bob) == {"ann", "eve", "cat"} and names(bob, use_void=False) == {"ann", "eve", "cat", "ben"} and names(bob, most_rounds=0) == {"ann"}
+    assert names(dan) == set() and names(dan, use_bloom=False) == {"cat"}
