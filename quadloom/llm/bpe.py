@@ -8,9 +8,9 @@ is tokenized once per Python worker; a text then costs one dictionary lookup per
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,18 @@ from quadloom.llm.common import gather, spans
 
 #: Words (without marks behind them) kept by a worker, in two halves: when the young half is full it becomes the old one,
 #: and words met again move over from the old half that is dropped next.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 #: A word ends a sentence if it ends in one of these.
 SENTENCE_END = "[.!?\u2026\u3002]$"
 #: Small Latin letters, which no normalization changes, with marks behind them: one or two pre-tokens.
 LETTERS, MARKS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+", "[.,!?;:]+"
 MARKED, PIECE = f"^({LETTERS})({MARKS})$", f"^({LETTERS}|{MARKS})$"
-JOINED_WORDS = 2000
+JOINED_WORDS = 300
+
+
+def byte_level(text: str) -> str:
+    """The vocabulary's letters for UTF-8 bytes, for plain pieces: Latin-1 but for three bytes."""
+    return text.encode().decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
 
 
 class Words:
@@ -54,8 +59,7 @@ class WordIds:
         # The same model for words that are known to be single pre-tokens: many of them in one call.
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.joined = Tokenizer.from_str(json.dumps(spec))
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -70,7 +74,7 @@ class WordIds:
         parts = new.filter(pa.array(plain)).to_pylist()
         for i in range(0, len(parts), JOINED_WORDS):
             # A plain piece is one pre-token, so exactly its last id ends a word.
-            ids = np.array(self.joined.encode_batch_fast([" ".join(parts[i : i + JOINED_WORDS])], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.joined.encode_batch_fast([byte_level(" ".join(parts[i : i + JOINED_WORDS]))], add_special_tokens=False)[0].ids, np.int64)
             flats.append(ids)
             lengths.append(np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1))
         if others := new.filter(pa.array(~plain)).to_pylist():
@@ -84,9 +88,9 @@ class WordIds:
         names = distinct.cast(pa.binary()).to_pylist()
         if len(self.young.code) + len(names) > CACHE_WORDS // 2 and self.young.code:
             self.young, self.old = Words(), self.young
-        found = np.fromiter((self.young.code.get(w, -1) for w in names), np.int64, len(names))
+        found = np.fromiter(map(self.young.code.get, names, itertools.repeat(-1)), np.int64, len(names))
         if (absent := np.flatnonzero(found < 0)).size:
-            before = np.fromiter((self.old.code.get(names[i], -1) for i in absent), np.int64, len(absent))
+            before = np.fromiter(map(self.old.code.get, [names[i] for i in absent.tolist()], itertools.repeat(-1)), np.int64, len(absent))
             again, at = absent[before >= 0], before[before >= 0]
             if len(again):
                 lengths = self.old.lengths[at].astype(np.int64)
@@ -124,18 +128,6 @@ class WordIds:
         return ids, behind[spans(count)][at - at[0]], behind[1:][self.young.ends[codes]]
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes, so that fewer words are looked up again."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= size:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One per worker process and vocabulary file."""

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.bpe import default_path, regrouped, word_ids
-from quadloom.llm.common import documents, spans, tune
+from quadloom.llm.bpe import default_path, word_ids
+from quadloom.llm.common import documents, regrouped, spans, tune
 
 SIZE, END_ID = 2048, 1
 #: Costs in padded tokens.

@@ -13,7 +13,6 @@ store works and a lost executor's half-written files never show.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +22,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.llm.bpe import default_path, regrouped, word_ids
-from quadloom.llm.common import documents, shared_dir, spans, tune
+from quadloom.llm.bpe import default_path, word_ids
+from quadloom.llm.common import documents, regrouped, spans, tune
+from quadloom.storage import fresh_dir
 
 MAGIC, BLOCK = b"QLWM1\0", 512
 #: Tokens after which a task closes a shard; a document is never split over two.
@@ -204,7 +204,7 @@ def read_shards(spark, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write the shards into the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, "wavelet")
     write_shards(docs, path, tokenizer)
     return read_shards(spark, path)
 

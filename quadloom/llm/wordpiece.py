@@ -16,8 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quadloom.llm.bpe import regrouped
-from quadloom.llm.common import documents, spans, tune
+from quadloom.llm.common import documents, regrouped, spans, tune
 
 #: Counts kept by a worker; when full, the cache starts anew.
 CACHE_WORDS = 600_000
