@@ -393,10 +393,10 @@ class Parser:
         self.need("SELECT")
         mode = self.word("DISTINCT", "REDUCED")
         outer, self.aggregates = self.aggregates, []
-        names: list[str] | None = []
+        names: list[str] = []
         computed: list[tuple[str, A.Expr]] = []
         if self.mark("*"):
-            names = None
+            names = ["*"]
         else:
             while self.peek()[0] == "var" or self.peek() == ("mark", "("):
                 if self.mark("("):

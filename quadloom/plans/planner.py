@@ -207,6 +207,9 @@ class Planner:
 
     def _project(self, op: A.Project) -> Solutions:
         now = self.run(op.child)
+        if op.names == ["*"]:
+            # Variables that stand for blank nodes and the like are nobody's business.
+            return Solutions(now.df, {v: maybe for v, maybe in now.variables.items() if not v.startswith("__")})
         df = now.df.select(*[F.col(f"`{v}`") if v in now.variables else F.lit(None).cast(TERM).alias(v) for v in op.names])
         return Solutions(df, {v: now.variables.get(v, True) for v in op.names})
 

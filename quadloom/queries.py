@@ -180,7 +180,7 @@ def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 sparql("group_having", "orders", "SELECT ?s ?r (COUNT(*) AS ?n) { ?o p:o_orderstatus ?s ; p:o_orderpriority ?r } GROUP BY ?s ?r HAVING (COUNT(*) > 100)",
        "SELECT o_orderstatus AS s, o_orderpriority AS r, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 100", n=L)
 sparql("agg_all", "orders", "SELECT ?s (COUNT(?t) AS ?n) (SUM(?t) AS ?total) (AVG(?t) AS ?mean) (MIN(?t) AS ?low) (MAX(?t) AS ?high) { ?o p:o_orderstatus ?s ; p:o_totalprice ?t } GROUP BY ?s",
-       "SELECT o_orderstatus AS s, count(*) AS n, CAST(sum(o_totalprice) AS DECIMAL(20,1)) AS total, CAST(avg(o_totalprice) AS DECIMAL(20,2)) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1", n=L, total="decimal(20,1)", mean="decimal(20,2)", low=D, high=D)
+       "SELECT o_orderstatus AS s, count(*) AS n, CAST(sum(o_totalprice) AS DECIMAL(20,2)) AS total, CAST(avg(o_totalprice) AS DECIMAL(20,2)) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1", n=L, total="decimal(20,2)", mean="decimal(20,2)", low=D, high=D)
 sparql("agg_distinct", "customer", "SELECT (COUNT(DISTINCT ?s) AS ?segments) (COUNT(DISTINCT ?n) AS ?nations) (COUNT(*) AS ?n0) { ?c p:c_mktsegment ?s ; p:c_nationkey ?n }",
        "SELECT count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_nationkey) AS nations, count(*) AS n0 FROM customer", segments=L, nations=L, n0=L)
 sparql("agg_distinct_sum", "part", "SELECT ?b (SUM(DISTINCT ?s) AS ?t) (AVG(DISTINCT ?s) AS ?a) { ?x p:p_brand ?b ; p:p_size ?s } GROUP BY ?b",

@@ -66,6 +66,7 @@ CASES = [
     ("SELECT ?x { { SELECT ?x { ?x <urn:name> ?n } ORDER BY ?n LIMIT 1 } ?x <urn:knows> ?y }", [("urn:a",)]),
     ("SELECT ?x { ?x <urn:age> ?a FILTER(?a IN (30, 'old')) }", [("urn:a",), ("urn:b",), ("urn:c",)]),
     ("SELECT ?x { ?x <urn:knows> ?x }", []),
+    ("SELECT * { <urn:c> <urn:has> _:b . _:b <urn:value> ?v . ?x <urn:name> 'Bob' }", [('line\none "q" \\n', "urn:b")]),
 ]
 
 
