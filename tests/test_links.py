@@ -220,3 +220,28 @@ http://z/9 <urn:zed> <urn:knows> <urn:bob> ."""
     bob, dan = "SELECT ?x { ?x <urn:knows> <urn:bob> }", "SELECT ?x { ?x <urn:knows> <urn:dan> }"
     assert names(bob) == {"ann", "eve", "cat"} and names(bob, use_void=False) == {"ann", "eve", "cat", "ben"} and names(bob, most_rounds=0) == {"ann"}
     assert names(dan) == set() and names(dan, use_bloom=False) == {"cat"}
+
+
+def test_http_service(spark):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import Request, urlopen
+
+    from quadloom.service import server
+
+    engine = Engine(spark, rdf.parse_lines(spark.createDataFrame([('<urn:a> <urn:p> "b"@en .',), ("<urn:a> <urn:p> <urn:c> .",)], "value string")))
+    with server(engine, 0, updates=True) as running:
+        threading.Thread(target=running.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{running.server_port}/sparql"
+        get = lambda query, accept="": urlopen(Request(f"{url}?{urlencode({'query': query})}", headers={"Accept": accept})).read().decode()
+        found = json.loads(get("SELECT ?o { <urn:a> <urn:p> ?o FILTER ISLITERAL(?o) }"))
+        assert found == {"head": {"vars": ["o"]}, "results": {"bindings": [{"o": {"type": "literal", "value": "b", "xml:lang": "en"}}]}}
+        assert json.loads(get("ASK { <urn:a> ?p ?o }"))["boolean"] is True and get("SELECT ?o { ?s ?p ?o FILTER ISIRI(?o) }", "text/csv") == "o\nurn:c\n"
+        assert get("CONSTRUCT { ?o <urn:q> ?s } { ?s ?p ?o FILTER ISIRI(?o) }") == "<urn:c> <urn:q> <urn:a> .\n"
+        urlopen(Request(url, data=b"INSERT DATA { <urn:x> <urn:p> 1 }", headers={"Content-Type": "application/sparql-update"})).read()
+        assert get("SELECT ?s { ?s <urn:p> 1 }", "text/tab-separated-values") == "?s\n<urn:x>\n"
+        with pytest.raises(HTTPError, match="400"):
+            get("SELECT nonsense")
+        running.shutdown()
