@@ -142,11 +142,12 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -
     docs: doc_id (not null) and text; copies, from later_copies(), neither ask nor answer.
     """
     marks = spool(minimizers(docs, window).join(copies, "doc_id", "left_anti"), "minimizers").select("doc_id", F.explode("leasts").alias("least"))
-    shared = marks.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("least")
+    # Aggregates are written before they are joined back: between two plain shuffles Spark splits a
+    # key that very many documents share, below an aggregate it couldn't.
+    shared = spool(marks.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("least"), "shared-minimizers")
     lists = spool(marks.join(shared, "least").groupBy("doc_id").agg(F.collect_list("least").alias("shared")), "shared")
-    # Both uses of found read one shuffle of the texts, which the caller's join by doc_id shares.
     found = map_batches(docs.join(lists, "doc_id"), lambda batch: _shared_windows(batch, window), "hash long, doc_id long, at int")
-    first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "first")
+    first = spool(found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "first"), "first-windows")
     return found.join(first, "hash").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
 
 
