@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quadloom.model import MEM, VOID
 from quadloom.plans import algebra as A
 
+#: More rules than this are not broadcast at once.
+FEW_RULES = 1000
 MEMBERSHIP = ("hashFunction", "sourceCollection", "memberCollection", "binaryRepresentation", "bitSize", "hashSize", "projectedProperty", "projectedResource")
 
 
@@ -115,10 +117,26 @@ def void_rules(quads: DataFrame) -> DataFrame:
 
 
 def deny(links: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Links that no rule (prefix or unanchored pattern) covers. Rules are few and checked against a broadcast limit."""
+    """Links that no rule (prefix or unanchored pattern) covers; links without a URL stay.
+
+    Up to ``FEW_RULES`` rules are broadcast and tried on each link. Beyond, prefixes become an
+    equi-join on the prefixes of each URL that have a rule's length, and patterns go in blocks.
+    """
     few = rules.select("prefix", "pattern").distinct()
-    hit = F.coalesce(F.startswith(F.col(url), F.col("prefix")), F.lit(False)) | F.coalesce(F.rlike(F.col(url), F.col("pattern")), F.lit(False))
-    return links.join(few, hit, "left_anti")
+    n = few.count()
+    if n <= FEW_RULES:
+        hit = F.coalesce(F.startswith(F.col(url), F.col("prefix")), F.lit(False)) | F.coalesce(F.rlike(F.col(url), F.col("pattern")), F.lit(False))
+        return links.join(few, hit, "left_anti") if n else links
+    prefixes = few.filter("prefix is not null").select(F.col("prefix").alias("__prefix")).distinct()
+    lengths = [r[0] for r in prefixes.select(F.length("__prefix")).distinct().collect()]  # no more than a URL has characters
+    if lengths:
+        parts = links.select(F.col(url).alias("__url")).distinct().select("__url", F.explode(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col("__url"), F.lit(1), n))).alias("__prefix"))
+        links = links.join(parts.join(prefixes, "__prefix").select("__url").distinct(), F.col(url) == F.col("__url"), "left_anti")
+    blocks = -(-few.filter("pattern is not null").count() // max(FEW_RULES, 1))
+    for block in range(blocks):
+        some = few.filter(F.col("pattern").isNotNull() & (F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block)).select(F.col("pattern").alias("__pattern"))
+        links = links.join(some, F.rlike(F.col(url), F.col("__pattern")), "left_anti")
+    return links
 
 
 def deny_prefixes(links: DataFrame, datasets: DataFrame, url: str = "url") -> DataFrame:

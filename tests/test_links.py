@@ -42,13 +42,16 @@ def test_bloom_incomplete_summaries(spark):
     assert _pruned(spark, rows, [(None, "p", "in")], "sound") == set() and _pruned(spark, rows, [(None, "p", "out")], "sound") == {"ok", "both"}
 
 
-def test_void_rules_and_denials(spark):
+def test_void_rules_and_denials(spark, monkeypatch):
     rows = [("a", "sparqlEndpoint", "e"), ("a", "uriSpace", "http://a/"), ("a", "uriRegexPattern", "."), ("b", "sparqlEndpoint", "e"), ("b", "uriSpace", ""), ("b", "uriRegexPattern", r"\d$"), ("c", "uriSpace", "http"), ("d", "sparqlEndpoint", "e"), ("a", "uriSpace", "http://aa/")]
     quads = spark.createDataFrame([(s, linkfilters.VOID + p, o, i) for i, (s, p, o) in enumerate(rows)], "s string, p string, o string, seq int")
     rules = linkfilters.void_rules(quads)
     assert {(r.dataset, r.prefix, r.pattern) for r in rules.collect()} == {("a", "http://aa/", None), ("b", None, r"\d$")}
     links = spark.createDataFrame([("http://aa/1x",), ("http://a/x",), ("http://b/9",), (None,)], "url string")
-    assert {r.url for r in linkfilters.deny(links, rules).collect()} == {"http://a/x", None}
+    for few in (1000, 1):
+        monkeypatch.setattr(linkfilters, "FEW_RULES", few)
+        assert {r.url for r in linkfilters.deny(links, rules).collect()} == {"http://a/x", None}
+    assert linkfilters.deny(links, rules.limit(0)).count() == 4
 
 
 def test_traversal_is_breadth_first_and_ends_on_cycles(spark):
