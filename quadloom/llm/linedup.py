@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, map_batches, spans
+from quadloom.llm.common import column, documents, map_batches, spans, spool
 
 MIN_CHARS = 10
 
@@ -129,9 +129,10 @@ def _gone(partners: list[dict]) -> list[bool]:
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and gone (array of flags, up to the last deleted line) of documents that lose lines."""
-    lines = line_places(docs, min_chars)
+    lines = spool(line_places(docs, min_chars), "lines")
     firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "places")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    firsts = firsts.select("hi", "lo", F.col("first.doc_id").alias("first"), F.col("first.places").alias("own"))
+    # Written before it is joined back, so that Spark can split a line that very many documents hold.
+    firsts = spool(firsts.select("hi", "lo", F.col("first.doc_id").alias("first"), F.col("first.places").alias("own")), "first-lines")
     shared = lines.join(firsts, ["hi", "lo"]).filter("doc_id > first")
     partners = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "own", "places")).alias("partners"))
     return map_batches(partners, lambda batch: {"doc_id": batch.column(0), "gone": [_gone(p) for p in batch.column(1).to_pylist()]}, "doc_id long, gone array<boolean>")
