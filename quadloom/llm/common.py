@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def regrouped(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, so that fewer words are looked up again."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -59,6 +60,21 @@ def regrouped(batches: Iterator[pa.RecordBatch], size: int = 3 << 20) -> Iterato
         yield pa.concat_batches(held)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the system at a task's end: Python workers live on between tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return inner
+
+
 def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict | None], schema: str, size: int = 1) -> DataFrame:
     """mapInArrow with one output batch for each input batch, or several of ``size`` bytes together; per_batch returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,7 +88,7 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict | None
             if batch.num_rows and (out := per_batch(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def spans(lengths: np.ndarray) -> np.ndarray:
