@@ -132,7 +132,7 @@ def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 def later_copies(docs: DataFrame) -> DataFrame:
     """doc_id of every document whose whole text is that of a smaller doc_id (by 128 hash bits)."""
     prints = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    firsts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    firsts = spool(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "first-copies")
     return prints.join(firsts, ["h1", "h2"]).filter("doc_id > first").select("doc_id").distinct()
 
 
