@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, map_batches, tune
+from quadloom.llm.common import column, documents, map_batches, tidy, tune
 
 ORDERS = (3, 5)
 ROWS, HASHES = 1 << 19, 3
@@ -169,4 +169,4 @@ def keep_known(docs: DataFrame, filters: Filters | None, min_score: float) -> Da
                 yield batch.filter(pa.array(letters & (filters.decide(texts)[1] >= min_score)))
 
     tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

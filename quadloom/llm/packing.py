@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.bpe import default_path, word_ids
-from quadloom.llm.common import documents, regrouped, spans, tune
+from quadloom.llm.common import documents, regrouped, spans, tidy, tune
 
 SIZE, END_ID = 2048, 1
 #: Costs in padded tokens.
 SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP = 4, 64, 128
 #: Tokens that a task holds before it settles all but the last two sequences of them.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 
 
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -170,4 +170,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
     file = tokenizer or default_path()
     tune(docs.sparkSession)
     ordered = documents(docs).filter("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(lambda it: _pack(it, file, end_id, size, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return ordered.mapInArrow(tidy(lambda it: _pack(it, file, end_id, size, with_ids)), SCHEMA + (", ids array<int>" if with_ids else ""))

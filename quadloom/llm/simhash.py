@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, map_batches, spans, spool, tune, words
+from quadloom.llm.common import column, documents, map_batches, spans, spool, tidy, tune, words
 from quadloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -175,7 +175,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODE
     members = shards.join(sizes, "shard").withColumn("trees", F.ceil(F.col("n") / tree_nodes))
     own = F.pmod(F.xxhash64("fp"), F.col("trees"))
     dealt = members.select("shard", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree")).select("shard", "tree", "fp", (F.col("own") == F.col("tree")).cast("long").alias("is_node"))
-    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(lambda it: _search(it, radius), "a long, b long")
+    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(tidy(lambda it: _search(it, radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, fingerprint_table: DataFrame | None = None) -> DataFrame:

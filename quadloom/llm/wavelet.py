@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.bpe import default_path, word_ids
-from quadloom.llm.common import documents, regrouped, spans, tune
+from quadloom.llm.common import documents, regrouped, spans, tidy, tune
 from quadloom.storage import fresh_dir
 
 MAGIC, BLOCK = b"QLWM1\0", 512
@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     file = tokenizer or default_path()
     tune(docs.sparkSession)
     ordered = documents(docs).filter("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda it: _shards(it, file, end_id, shard_tokens), "shard long, block long, base long, n_tokens long, n_docs long, payload binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidy(lambda it: _shards(it, file, end_id, shard_tokens)), "shard long, block long, base long, n_tokens long, n_docs long, payload binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -195,7 +195,7 @@ def read_shards(spark, path: str) -> DataFrame:
                 n = len(crcs)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(matrix.doc_ids, pa.int64()), "within": pa.array(base + offsets[:-1], pa.int64()), "n_tokens": pa.array(matrix.lengths, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64()), "shard": pa.array(np.full(n, shard)), "block": pa.array(np.full(n, block))})
 
-    rows = shards.select("shard", "block", "base", "payload").mapInArrow(decode, "doc_id long, within long, n_tokens long, ids_crc32 long, shard long, block long")
+    rows = shards.select("shard", "block", "base", "payload").mapInArrow(tidy(decode), "doc_id long, within long, n_tokens long, ids_crc32 long, shard long, block long")
     # One row per writing task, never per document: this window stays small at any input size.
     before = shards.groupBy("shard").agg(F.sum("n_tokens").alias("held")).select("shard", (F.sum("held").over(Window.orderBy("shard")) - F.col("held")).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")

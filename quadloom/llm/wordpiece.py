@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quadloom.llm.common import documents, regrouped, spans, tune
+from quadloom.llm.common import documents, regrouped, spans, tidy, tune
 
 #: Counts kept by a worker; when full, the cache starts anew.
 CACHE_WORDS = 600_000
@@ -130,4 +130,4 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
     """
     path = model or default_path()
     tune(docs.sparkSession)
-    return documents(docs).mapInArrow(lambda it: _count(it, path), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return documents(docs).mapInArrow(tidy(lambda it: _count(it, path)), "doc_id long, n_words long, n_tokens long, n_unknown long")
