@@ -3,10 +3,12 @@
 Every line (trimmed, of ``MIN_CHARS`` characters at least) names one partner: the smallest
 doc_id that holds it. So a line in a million documents gives a million links, not their square,
 and no line is too frequent to serve; rare lines give the links that no other line gives. Each
-later document is aligned with each of its partners by patience diff, over the lines which that
-partner is the first to hold; aligned lines are deleted from the later document.
+later document is aligned with each of its partners by patience diff, over all lines of that
+length which the two share. Aligned lines are deleted from the later document, and with them the
+equal lines of any length that stand next to them in both, so that a whole common block goes.
 
-Lines travel as 128-bit hashes with their places; texts move once, to have lines deleted.
+Lines travel as 128-bit hashes with their places; lines that no other document holds, and the
+short ones among them, stay behind. Texts move once, to have lines deleted.
 """
 
 from __future__ import annotations
@@ -89,53 +91,112 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines of each document: hi, lo (128 bits), doc_id and the places of the line (array)."""
+#: A line on its way: its hash, its place in the text, and whether it is long enough to find partners.
+LINE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("place", "<i4"), ("long", "?")])
+
+
+def sequences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id and lines (LINE records as bytes, short and empty lines too) of the documents with a line of min_chars."""
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        digests, owners, places = [], [], []
+        out, owners = [], []
         for text, doc in zip(column(batch, "text"), batch.column(0).to_pylist(), strict=True):
-            found: dict[bytes, list[int]] = {}
-            for i, line in enumerate(text.split(b"\n")):
-                line = line.strip()
-                if len(line) >= min_chars and len(line.decode()) >= min_chars:
-                    found.setdefault(xxhash.xxh3_128_digest(line), []).append(i)
-            digests += found
+            lines = [line.strip() for line in text.split(b"\n")]
+            long = [len(line) >= min_chars and len(line.decode()) >= min_chars for line in lines]
+            if any(long):
+                made = np.empty(len(lines), LINE)
+                hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<i8").reshape(-1, 2)
+                made["hi"], made["lo"], made["place"], made["long"] = hashes[:, 0], hashes[:, 1], np.arange(len(lines)), long
+                out.append(made.tobytes())
+                owners.append(doc)
+        return {"doc_id": owners, "lines": out}
+
+    return map_batches(docs, per_batch, "doc_id long, lines binary")
+
+
+def line_places(sequences: DataFrame) -> DataFrame:
+    """Distinct long lines of each document: hi, lo (128 bits), doc_id and the places of the line (array)."""
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        keys, owners, places = [], [], []
+        for lines, doc in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+            made = np.frombuffer(lines, LINE)
+            found: dict[tuple[int, int], list[int]] = {}
+            for hi, lo, place, _ in made[made["long"]].tolist():
+                found.setdefault((hi, lo), []).append(place)
+            keys += found
             owners += [doc] * len(found)
             places += found.values()
-        hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        hashes = np.array(keys, np.int64).reshape(-1, 2)
         flat = np.fromiter((i for p in places for i in p), np.int32)
         lists = pa.ListArray.from_arrays(pa.array(spans(np.fromiter(map(len, places), np.int64, len(places))), pa.int32()), pa.array(flat))
         return {"hi": hashes[:, 0], "lo": hashes[:, 1], "doc_id": owners, "places": lists}
 
-    return map_batches(docs, per_batch, "hi long, lo long, doc_id long, places array<int>")
-
-
-def _gone(partners: list[dict]) -> list[bool]:
+    return map_batches(sequences, per_batch, "hi long, lo long, doc_id long, places array<int>")
+
+
+def _blocks(lines: bytes, shared: list[int]) -> bytes:
+    """The lines at the shared places, and the short lines that only short or shared lines part from them."""
+    made = np.frombuffer(lines, LINE)
+    held = np.zeros(len(made), bool)
+    held[shared] = True
+    run = np.cumsum(made["long"] & ~held)
+    return made[(held | ~made["long"]) & (np.bincount(run[held], minlength=run[-1] + 1) > 0)[run]].tobytes()
+
+
+def aligned(theirs: np.ndarray, mine: np.ndarray) -> list[int]:
+    """Places in mine of the common blocks: long lines by patience diff, and equal lines next to them in both texts."""
+    a, b = list(zip(theirs["hi"].tolist(), theirs["lo"].tolist(), strict=True)), list(zip(mine["hi"].tolist(), mine["lo"].tolist(), strict=True))
+    both = set(a).intersection(b)
+    at_a = [i for i, (x, long) in enumerate(zip(a, theirs["long"].tolist(), strict=True)) if long and x in both]
+    at_b = [j for j, (x, long) in enumerate(zip(b, mine["long"].tolist(), strict=True)) if long and x in both]
+    pairs = [(at_a[i], at_b[j]) for i, j in patience([a[i] for i in at_a], [b[j] for j in at_b])]
+    in_a, in_b = theirs["place"].tolist(), mine["place"].tolist()
+    out = [j for _, j in pairs]
+    for (i0, j0), (i1, j1) in zip([(-1, -1), *pairs], [*pairs, (len(a), len(b))], strict=True):
+        i, j = i0 + 1, j0 + 1
+        while j0 >= 0 and i < i1 and j < j1 and a[i] == b[j] and in_a[i] == in_a[i - 1] + 1 and in_b[j] == in_b[j - 1] + 1:
+            out.append(j)
+            i, j = i + 1, j + 1
+        p, q = i1 - 1, j1 - 1
+        while j1 < len(b) and p >= i and q >= j and a[p] == b[q] and in_a[p] == in_a[p + 1] - 1 and in_b[q] == in_b[q + 1] - 1:
+            out.append(q)
+            p, q = p - 1, q - 1
+    return [in_b[j] for j in out]
+
+
+def _flags(places: list[list[int]]) -> list[bool]:
     """Flags of the deleted lines, up to the last of them."""
-    by: dict[int, list[tuple[list[int], list[int]]]] = {}
-    for row in partners:
-        by.setdefault(row["first"], []).append((row["own"], row["places"]))
-    gone: set[int] = set()
-    for lines in by.values():
-        a = sorted((i, k) for k, (own, _) in enumerate(lines) for i in own)
-        b = sorted((j, k) for k, (_, places) in enumerate(lines) for j in places)
-        gone.update(b[j][0] for _, j in patience([k for _, k in a], [k for _, k in b]))
+    gone = {j for some in places for j in some}
     flags = [False] * (max(gone) + 1 if gone else 0)
     for j in gone:
         flags[j] = True
     return flags
 
 
+def _firsts(keys: DataFrame, name: str) -> DataFrame:
+    """hi, lo and the first of at least two documents that hold them, written before it is joined back, so that Spark can split a key that very many documents hold."""
+    held = keys.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return spool(held.filter("first < last").select("hi", "lo", "first"), name)
+
+
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and gone (array of flags, up to the last deleted line) of documents that lose lines."""
-    lines = spool(line_places(docs, min_chars), "lines")
-    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "places")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    # Written before it is joined back, so that Spark can split a line that very many documents hold.
-    firsts = spool(firsts.select("hi", "lo", F.col("first.doc_id").alias("first"), F.col("first.places").alias("own")), "first-lines")
-    shared = lines.join(firsts, ["hi", "lo"]).filter("doc_id > first")
-    partners = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "own", "places")).alias("partners"))
-    return map_batches(partners, lambda batch: {"doc_id": batch.column(0), "gone": [_gone(p) for p in batch.column(1).to_pylist()]}, "doc_id long, gone array<boolean>")
+    whole = spool(sequences(docs, min_chars), "sequences")
+    lines = spool(line_places(whole), "lines")
+    shared = spool(lines.join(_firsts(lines, "first-lines"), ["hi", "lo"]).select("doc_id", "first", "places"), "shared-lines")
+    held = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("shared"))
+    blocks = spool(map_batches(whole.join(held, "doc_id"), lambda batch: {"doc_id": batch.column(0), "lines": list(map(_blocks, batch.column(1).to_pylist(), batch.column(2).to_pylist()))}, "doc_id long, lines binary"), "blocks")
+    pairs = spool(shared.filter("doc_id > first").select("doc_id", "first").distinct(), "pairs")
+    theirs = pairs.join(blocks.select(F.col("doc_id").alias("first"), F.col("lines").alias("theirs")), "first").select("doc_id", "theirs")
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        return {"doc_id": batch.column(0), "places": [aligned(np.frombuffer(a, LINE), np.frombuffer(b, LINE)) for a, b in rows]}
+
+    places = map_batches(theirs.join(blocks, "doc_id").select("doc_id", "theirs", "lines"), per_batch, "doc_id long, places array<int>")
+    gone = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    return map_batches(gone, lambda batch: {"doc_id": batch.column(0), "gone": list(map(_flags, batch.column(1).to_pylist()))}, "doc_id long, gone array<boolean>")
 
 
 def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -343,3 +343,15 @@ def test_sql(spark, name):
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, SMALL).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_short_lines_go_with_their_block(spark):
+    block = ["Ok.", "The first long line of the block.", "Les.", "", "The second long line of the block.", "End."]
+    rows = [
+        (1, "\n".join(block)),
+        (2, "\n".join(block)),
+        (3, "\n".join(["Les.", "Only this document holds the line.", *block, "Les.", "Only this one, too, holds the line.", "Ok."])),
+        (4, "Les.\nOk.\nNothing here is shared at all."),
+    ]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 6), 3: ("Les.\nOnly this document holds the line.\nLes.\nOnly this one, too, holds the line.\nOk.", 6), 4: (rows[3][1], 0)}
