@@ -4,7 +4,9 @@ Every line (trimmed, of ``MIN_CHARS`` characters at least) names one partner: th
 doc_id that holds it. So a line in a million documents gives a million links, not their square,
 and no line is too frequent to serve; rare lines give the links that no other line gives. Each
 later document is aligned with each of its partners by patience diff, over all lines of that
-length which the two share. Aligned lines are deleted from the later document, and with them the
+length which the two share. So that a block is found whole where an early document holds its
+lines in another order, each two shared lines in a row name a partner in the same way, and so
+does the whole text. Aligned lines are deleted from the later document, and with them the
 equal lines of any length that stand next to them in both, so that a whole common block goes.
 
 Lines travel as 128-bit hashes with their places; lines that no other document holds, and the
@@ -96,10 +98,10 @@ LINE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("place", "<i4"), ("long", "?")])
 
 
 def sequences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and lines (LINE records as bytes, short and empty lines too) of the documents with a line of min_chars."""
+    """doc_id, lines (LINE records as bytes, short and empty lines too) and the whole text's hash, of the documents with a line of min_chars."""
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        out, owners = [], []
+        out, owners, texts = [], [], []
         for text, doc in zip(column(batch, "text"), batch.column(0).to_pylist(), strict=True):
             lines = [line.strip() for line in text.split(b"\n")]
             long = [len(line) >= min_chars and len(line.decode()) >= min_chars for line in lines]
@@ -109,9 +111,11 @@ def sequences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 made["hi"], made["lo"], made["place"], made["long"] = hashes[:, 0], hashes[:, 1], np.arange(len(lines)), long
                 out.append(made.tobytes())
                 owners.append(doc)
-        return {"doc_id": owners, "lines": out}
+                texts.append(xxhash.xxh3_128_digest(b"\n".join([b"", *lines])))  # no line holds a line break
+        whole = np.frombuffer(b"".join(texts), "<i8").reshape(-1, 2)
+        return {"doc_id": owners, "lines": out, "hi": whole[:, 0], "lo": whole[:, 1]}
 
-    return map_batches(docs, per_batch, "doc_id long, lines binary")
+    return map_batches(docs, per_batch, "doc_id long, lines binary, hi long, lo long")
 
 
 def line_places(sequences: DataFrame) -> DataFrame:
@@ -165,6 +169,23 @@ def aligned(theirs: np.ndarray, mine: np.ndarray) -> list[int]:
     return [in_b[j] for j in out]
 
 
+def neighbours(blocks: DataFrame) -> DataFrame:
+    """Distinct pairs of shared long lines that follow each other in a document, other lines left out: hi, lo (128 bits), doc_id."""
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        digests, owners = [], []
+        for lines, doc in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+            made = np.frombuffer(lines, LINE)
+            keys = np.ascontiguousarray(np.stack([made["hi"][made["long"]], made["lo"][made["long"]]], 1)).tobytes()
+            found = {xxhash.xxh3_128_digest(keys[i : i + 32]) for i in range(0, len(keys) - 16, 16)}
+            digests += found
+            owners += [doc] * len(found)
+        hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        return {"hi": hashes[:, 0], "lo": hashes[:, 1], "doc_id": owners}
+
+    return map_batches(blocks, per_batch, "hi long, lo long, doc_id long")
+
+
 def _flags(places: list[list[int]]) -> list[bool]:
     """Flags of the deleted lines, up to the last of them."""
     gone = {j for some in places for j in some}
@@ -186,8 +207,11 @@ def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = spool(line_places(whole), "lines")
     shared = spool(lines.join(_firsts(lines, "first-lines"), ["hi", "lo"]).select("doc_id", "first", "places"), "shared-lines")
     held = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("shared"))
-    blocks = spool(map_batches(whole.join(held, "doc_id"), lambda batch: {"doc_id": batch.column(0), "lines": list(map(_blocks, batch.column(1).to_pylist(), batch.column(2).to_pylist()))}, "doc_id long, lines binary"), "blocks")
-    pairs = spool(shared.filter("doc_id > first").select("doc_id", "first").distinct(), "pairs")
+    blocks = spool(map_batches(whole.select("doc_id", "lines").join(held, "doc_id"), lambda batch: {"doc_id": batch.column(0), "lines": list(map(_blocks, batch.column(1).to_pylist(), batch.column(2).to_pylist()))}, "doc_id long, lines binary"), "blocks")
+    # A line's first holder may have it in another order: who first holds two lines in a row, or the whole text, is a partner too.
+    rows = spool(neighbours(blocks).unionByName(whole.select("hi", "lo", "doc_id")), "neighbours")
+    linked = shared.select("doc_id", "first").unionByName(rows.join(_firsts(rows, "first-neighbours"), ["hi", "lo"]).select("doc_id", "first"))
+    pairs = spool(linked.filter("doc_id > first").distinct(), "pairs")
     theirs = pairs.join(blocks.select(F.col("doc_id").alias("first"), F.col("lines").alias("theirs")), "first").select("doc_id", "theirs")
 
     def per_batch(batch: pa.RecordBatch) -> dict:

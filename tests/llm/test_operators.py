@@ -355,3 +355,18 @@ def test_short_lines_go_with_their_block(spark):
     ]
     got = {r.doc_id: (r.text, r.n_removed) for r in linedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("", 6), 3: ("Les.\nOnly this document holds the line.\nLes.\nOnly this one, too, holds the line.\nOk.", 6), 4: (rows[3][1], 0)}
+
+
+def test_blocks_whose_lines_stand_earlier_in_another_order(spark):
+    block = [f"Line {i} of a block that two documents share." for i in range(5)]
+    rows = [
+        (1, "\n".join(block[::-1])),
+        (2, "\n".join(["Only the second document has this.", *block[:2], "Nor does any other have this.", *block[2:]])),
+        (3, "\n".join([*block[:2], "Only the third document has this.", *block[2:], "Its last line."])),
+        (4, "One line.\nThe long line of two."),
+        (5, "The long line of two."),
+        (6, "Two.\nThe long line of two.\nEnd."),
+        (7, "Two.\nThe long line of two.\nEnd."),
+    ]
+    got = {r.doc_id: r.text for r in linedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == "Only the third document has this.\nIts last line." and got[5] == got[7] == "" and got[6] == "Two.\nEnd."
