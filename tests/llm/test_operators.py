@@ -370,3 +370,32 @@ def test_blocks_whose_lines_stand_earlier_in_another_order(spark):
     ]
     got = {r.doc_id: r.text for r in linedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[3] == "Only the third document has this.\nIts last line." and got[5] == got[7] == "" and got[6] == "Two.\nEnd."
+
+
+def test_short_items_among_2000(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    rng = random.Random(12)
+    known = sorted({w for r in docs for w in decontam.tokens((r.text or "").encode())})
+    items = [[rng.choice(known).decode() for _ in range(rng.randint(3, decontam.EXACT - 1))] for _ in range(2000)]
+    host = [[rng.choice(known).decode() for _ in range(120)] for _ in range(400)]
+    for k, h in enumerate(host):
+        words = list(items[k])
+        if len(words) >= decontam.SHORT and k % 2:
+            del words[2], words[-3]
+        h[60:60] = words
+    made = spark.createDataFrame([(k, " ".join(h)) for k, h in enumerate(host)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(made, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    want = set()
+    for k, h in enumerate(host):
+        text = [w.encode() for w in h]
+        for i, item in enumerate(items):
+            words = [w.encode() for w in item]
+            if len(set(words) & set(text)) >= decontam.PARAPHRASE * len(set(words)):
+                spread = range(len(text) - len(words) + 1)
+                if len(words) < decontam.SHORT and any(text[s : s + len(words)] == words for s in spread):
+                    want.add((k, i))
+                if len(words) >= decontam.SHORT and any(decontam.common_subsequence(words, text[s : s + len(words)]) >= decontam.MATCH * len(words) for s in spread):
+                    want.add((k, i))
+    assert want >= {(k, k) for k in range(400) if not (k % 2 and len(items[k]) in (8, 9, 10, 11) and 2 > 0.25 * len(items[k]))}
+    assert want <= got
+    assert all((k, i) in want or decontam.common_subsequence([w.encode() for w in items[i]], [w.encode() for w in host[k]]) >= decontam.PARAPHRASE * len(items[i]) for k, i in got)
