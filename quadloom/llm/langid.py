@@ -21,7 +21,8 @@ from quadloom.llm.common import column, documents, map_batches, tidy, tune
 
 ORDERS = (3, 5)
 ROWS, HASHES = 1 << 19, 3
-#: Bounds of the fit: labelled documents (by a hash of doc_id) and n-grams, the most frequent first.
+#: Bounds of the fit: labelled documents (by a hash of doc_id; rare languages have as much on top) and
+#: n-grams, those of the highest rates in their language first.
 TRAIN_DOCS, MAX_GRAMS = 4000, 400_000
 #: A language contains an n-gram seen so often in it, at this part at least of its best language's rate.
 LEAST_COUNT, LEAST_SHARE = 3, 0.25
@@ -100,11 +101,15 @@ def bucket(doc_id: Column, n: int) -> Column:
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> Filters | None:
     """Fit on doc_id, text and lang; rows with a null text or lang teach nothing. None without any."""
     rows = labelled.filter("text is not null and lang is not null")
-    total = rows.select("doc_id").count()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    total, languages = sizes.agg(F.sum("rows"), F.count("*")).first()
     if not total:
         return None
-    # A stated bound on the sample: every row while they are few, else the rows of the lowest hashes.
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / total)))
+    if total > train_docs:
+        # A stated bound on the sample: the rows of the lowest hashes, of each language an equal part of the bound if it has so many.
+        parts = sizes.orderBy(F.desc("rows"), "lang").limit(train_docs).select("lang", (train_docs / languages / F.col("rows")).alias("part"))
+        part = F.greatest(F.lit(train_docs / total), F.col("part"))  # greatest skips nulls
+        rows = rows.join(F.broadcast(parts), "lang", "left").filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < part * (1 << 30))
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         texts, langs = column(batch, "text"), np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object)
@@ -117,7 +122,8 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MA
         return {"gram": out["gram"].to_numpy(np.int64), "lang": out["lang"].tolist(), "n": out["n"].to_numpy(np.int64)}
 
     counts = map_batches(rows.select("text", "lang"), per_batch, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
-    seen = counts.orderBy(F.desc("n"), "gram", "lang").limit(max_grams).toPandas()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    seen = counts.join(F.broadcast(totals), "lang").orderBy(F.desc(F.col("n") / F.col("all")), "gram", "lang").select("gram", "lang", "n").limit(max_grams).toPandas()
     if not len(seen):
         return None
     seen["rate"] = seen["n"] / seen.groupby("lang")["n"].transform("sum")

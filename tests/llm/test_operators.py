@@ -399,3 +399,9 @@ def test_short_items_among_2000(spark):
     assert want >= {(k, k) for k in range(400) if not (k % 2 and len(items[k]) in (8, 9, 10, 11) and 2 > 0.25 * len(items[k]))}
     assert want <= got
     assert all((k, i) in want or decontam.common_subsequence([w.encode() for w in items[i]], [w.encode() for w in host[k]]) >= decontam.PARAPHRASE * len(items[i]) for k, i in got)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the common language speaks of many things and of number {chr(97 + i % 26)} too", "aa") for i in range(2000)] + [(5000 + i, "жили были старик со старухой у самого синего моря", "bb") for i in range(4)]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=20, max_grams=120)
+    assert filters.languages == ["aa", "bb"] and filters.decide(["старик у моря".encode()])[0][0] == 1
