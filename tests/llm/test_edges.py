@@ -98,6 +98,45 @@ def test_decontamination(odd, none, benchmark):
     assert decontam.find_leaks(none, benchmark).count() == 0 and decontam.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["one two three"], [WORDS], [WORDS, "x", WORDS], ["", " ", None], ["...", " - "], [None]])
+def test_decontamination_of_few_documents(spark, benchmark, texts):
+    docs = _docs(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, benchmark).collect()} == {(i, 0) for i, t in enumerate(texts) if t == WORDS}
+
+
+def test_decontamination_does_not_depend_on_blocks(spark, odd, monkeypatch):
+    """Rows that repeat a doc_id give one row, whether the items fill one block, several, or several passes."""
+    items = [(0, " ".join(WORDS.split()[10:40])), (1, " ".join(WORDS.split()[40:60])), (2, "line number 7 of a very long text line number 8 of a very long text"), (3, "never found anywhere at all in these texts"), (4, "some other words that no text holds"), (5, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(odd, table).collect())
+    assert len(want) == len(set(want)) and {(5, 0), (5, 1), (6, 0), (8, 2)} <= set(want)
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 2)
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(odd, table).collect()) == want
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", 1)
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(odd, table).collect()) == want
+
+
+def test_document_frequencies_of_many_short_texts(spark):
+    """Memory follows the words: 200,000 three-word texts in one batch, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from quadloom.llm import decontam
+class Rows:
+    def mapInArrow(self, run, schema):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(200_000)), "text": [f"a{i} b{i % 99} a{i}" for i in range(200_000)]})])))
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10, sum(out[0].column(1).to_pylist()))
+        raise SystemExit
+decontam.document_frequencies(Rows())
+"""
+    grown, counted = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout.split())
+    assert grown < 300 and counted <= 600_000
+
+
 def test_substring(odd, none):
     rows = [r for r in substring.remove_repeats(odd).collect()]
     assert len(rows) == N + 2
@@ -117,7 +156,8 @@ def test_pipeline(spark, odd, none, benchmark, tmp_path_factory):
     import corpus_pipeline as pipeline
     from quadloom.llm.common import spool
 
-    for docs in (odd, none):
+    few = [_docs(spark, [(i, t, "en") for i, t in enumerate(texts)]) for texts in ([WORDS], ["", None], ["12 34", "."])]
+    for docs in (odd, none, *few):
         sf = str(tmp_path_factory.mktemp("sf"))
         docs.write.parquet(f"{sf}/documents.parquet")
         benchmark.write.parquet(f"{sf}/benchmark.parquet")
