@@ -4,30 +4,35 @@ One filter serves all languages: row p of the table holds a bit for each languag
 n-gram to a language sets that language's bit in k rows. ANDing the k rows of an n-gram returns
 all languages that contain it. A text is decided by the languages' popcounts over its n-grams,
 each corrected for its slice's false positives: a slice with fill f answers yes by chance with
-probability f**k, so (count - n * f**k) / (1 - f**k) of n n-grams count.
+probability f**k, so (count - n * f**k) / (1 - f**k) of n n-grams count. The part of a text's
+n-grams that the best language knows, so corrected, tells texts of an unlearned language.
 """
 
 from __future__ import annotations
 
-import re
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.common import column, documents, map_batches, tidy, tune
 
 ORDERS = (3, 5)
-ROWS, HASHES = 1 << 19, 3
+HASHES = 3
 #: Bounds of the fit: labelled documents (by a hash of doc_id; rare languages have as much on top) and
-#: n-grams, those of the highest rates in their language first.
+#: n-grams, each language's equal part of them, those of the highest rates first.
 TRAIN_DOCS, MAX_GRAMS = 4000, 400_000
 #: A language contains an n-gram seen so often in it, at this part at least of its best language's rate.
 LEAST_COUNT, LEAST_SHARE = 3, 0.25
+#: Rows of the filter for each n-gram of the language that has most: slices are filled to a third at most.
+ROWS_PER_GRAM = 8
+#: Held-out labelled documents that show how much of a language's own texts is known; and the part of that
+#: which a text must reach to be of the language.
+CUT_DOCS, CUT = 2000, 0.5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -48,10 +53,15 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[whole], owner[:n][whole]
 
 
+def has_letter(text: bytes) -> bool:
+    """A character of the Unicode categories L*; numbers such as U+00BD or U+2160 are none."""
+    return any(map(str.isalpha, text.decode()))
+
+
 class Filters:
-    """rows: (ROWS, words of 64 languages)."""
+    """table: (rows, words of 64 languages)."""
 
-    def __init__(self, languages: list[str], rows: int = ROWS) -> None:
+    def __init__(self, languages: list[str], rows: int) -> None:
         self.languages = languages
         self.table = np.zeros((rows, max(1, -(-len(languages) // 64))), np.uint64)
 
@@ -75,8 +85,8 @@ class Filters:
             found = found & self.table[at]
         return found
 
-    def decide(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the best language and score best / (best + second), 0 where no n-gram is known."""
+    def decide(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the best language, score best / (best + second), 0 where no n-gram is known, and the part of the n-grams that it knows."""
         n = len(texts)
         yes, asked = np.zeros((n, len(self.languages))), np.zeros(n)
         for order in ORDERS:
@@ -90,7 +100,7 @@ class Filters:
         top = counts[np.arange(n), best]
         counts[np.arange(n), best] = 0
         second = counts.max(1) if counts.shape[1] > 1 else np.zeros(n)
-        return best, np.where(top > 0, top / np.maximum(top + second, 1e-12), 0.0)
+        return best, np.where(top > 0, top / np.maximum(top + second, 1e-12), 0.0), top / np.maximum(asked, 1)
 
 
 def bucket(doc_id: Column, n: int) -> Column:
@@ -123,18 +133,44 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MA
 
     counts = map_batches(rows.select("text", "lang"), per_batch, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    seen = counts.join(F.broadcast(totals), "lang").orderBy(F.desc(F.col("n") / F.col("all")), "gram", "lang").select("gram", "lang", "n").limit(max_grams).toPandas()
+    rates = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("all")).alias("rate"))
+    own = rates.withColumn("best", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= LEAST_SHARE * F.col("best"))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")))
+    seen = ranked.filter(F.col("rank") <= max(1, max_grams // languages)).select("gram", "lang").toPandas()
     if not len(seen):
         return None
-    seen["rate"] = seen["n"] / seen.groupby("lang")["n"].transform("sum")
-    seen = seen[seen["rate"] >= LEAST_SHARE * seen.groupby("gram")["rate"].transform("max")]
-    filters = Filters(sorted(seen["lang"].unique()))
+    most = int(seen["lang"].value_counts().max())
+    filters = Filters(sorted(seen["lang"].unique()), 1 << max(12, math.ceil(math.log2(ROWS_PER_GRAM * most))))
     for i, lang in enumerate(filters.languages):
         filters.add(seen.loc[seen["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64), i)
     filters.finish()
     return filters
 
 
+def cuts(filters: Filters | None, held_out: DataFrame, cut: float = CUT, most: int = CUT_DOCS) -> np.ndarray | None:
+    """For each language the least known part of a text of it: ``cut`` of the median over its held-out texts.
+
+    held_out: doc_id, text and lang of rows that taught nothing; about ``most`` of them are looked
+    at, by a hash of doc_id. A language without any takes the median of all, and 1 without those.
+    """
+    if filters is None:
+        return None
+    rows = held_out.filter("text is not null and lang is not null and text <> ''")
+    total = rows.count()
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(total, 1))))
+    model = held_out.sparkSession.sparkContext.broadcast(filters)
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        filters, langs = model.value, batch.column(1).to_pylist()
+        best, _, known = filters.decide(column(batch, "text"))
+        return {"lang": langs, "own": [filters.languages[b] == lang for b, lang in zip(best.tolist(), langs, strict=True)], "known": known}
+
+    found = map_batches(some.select("text", "lang"), per_batch, "lang string, own boolean, known double").filter("own").toPandas()
+    medians = found.groupby("lang")["known"].median()
+    rest = float(found["known"].median()) if len(found) else 1.0
+    return cut * np.array([medians.get(lang, rest) for lang in filters.languages])
+
+
 def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
     """One row per row: doc_id, lang_pred, score.
 
@@ -146,10 +182,10 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         filters, texts = model.value, column(batch, "text")
-        known = np.array([bool(LETTER.search(t.decode())) for t in texts]) & (filters is not None)
+        known = np.array(list(map(has_letter, texts))) & (filters is not None)
         pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         if known.any():
-            best, points = filters.decide([t if ok else b"" for t, ok in zip(texts, known, strict=True)])
+            best, points, _ = filters.decide([t if ok else b"" for t, ok in zip(texts, known, strict=True)])
             pred[known] = np.array(filters.languages, object)[best[known]]
             score[known] = points[known]
         return {"doc_id": batch.column(0), "lang_pred": pred.tolist(), "score": score}
@@ -163,16 +199,16 @@ def predict(docs: DataFrame) -> DataFrame:
     return identify(docs, train(learn)).select("doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, filters: Filters | None, min_score: float) -> DataFrame:
-    """The rows of docs, all columns, whose text is of a learned language with this score or more."""
-    model = docs.sparkSession.sparkContext.broadcast(filters)
+def keep_known(docs: DataFrame, filters: Filters | None, least: np.ndarray | None) -> DataFrame:
+    """The rows of docs, all columns, with a letter, of which the best language knows its least part (see cuts()) or more."""
+    model = docs.sparkSession.sparkContext.broadcast((filters, least))
 
     def run(batches):
         for batch in batches:
-            filters, texts = model.value, column(batch, "text")
+            (filters, least), texts = model.value, column(batch, "text")
             if filters is not None and texts:
-                letters = np.array([bool(LETTER.search(t.decode())) for t in texts])
-                yield batch.filter(pa.array(letters & (filters.decide(texts)[1] >= min_score)))
+                best, _, known = filters.decide(texts)
+                yield batch.filter(pa.array(np.array(list(map(has_letter, texts))) & (known > 0) & (known >= least[best])))
 
     tune(docs.sparkSession)
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -57,7 +57,11 @@ def test_language(spark, odd, none):
     assert len(rows) == N + 4 and {r.lang_pred for r in rows if r.doc_id in (0, 1, 2, 3)} == {"und"} and all(0 <= r.score <= 1 for r in rows)
     assert langid.predict(none).count() == 0
     assert langid.train(none) is None and {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
-    assert langid.keep_known(odd, None, 0.5).columns == odd.columns and langid.keep_known(odd, None, 0.5).count() == 0
+    assert langid.keep_known(odd, None, None).columns == odd.columns and langid.keep_known(odd, None, None).count() == 0
+    strange = _docs(spark, [(i, t, "en") for i, t in enumerate(["\u00bd \u00b2", "\u2460", "\u2160 12", "\u00aa", "a"])])
+    assert [r.lang_pred for r in sorted(langid.predict(strange.unionByName(_docs(spark, [(50 + i, WORDS, "en") for i in range(9)]))).collect()) if r.doc_id < 5] == ["und", "und", "und", "en", "en"]
+    filters = langid.train(odd)
+    assert langid.cuts(None, odd) is None and (langid.cuts(filters, none) == langid.CUT).all() and len(langid.cuts(filters, odd)) == len(filters.languages)
 
 
 def test_wordpiece(odd, none):

@@ -122,6 +122,42 @@ def test_language_held_out(spark):
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
+def test_language_against_plain_sets(spark, docs):
+    """The same rule with sets in place of filters: what is left is the filters' noise around their expectation."""
+    rows = [r for r in docs.collect() if r.text]
+    learn = [r for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    blank = lambda t: b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in t.lower().encode()) + b" "
+    pieces = lambda t: [(n, b[i : i + n]) for b in [blank(t)] for n in (3, 5) for i in range(len(b) - n + 1)]
+    counts = collections.defaultdict(collections.Counter)
+    for r in learn:
+        counts[r.lang].update(pieces(r.text))
+    rates = {lang: {g: n for g, n in c.items() if n >= langid.LEAST_COUNT} for lang, c in counts.items()}
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in rates.items()}
+    own = {lang: {g for g, x in c.items() if x >= langid.LEAST_SHARE * max(other.get(g, 0) for other in rates.values())} for lang, c in rates.items()}
+    got, same, near = {r.doc_id: r for r in langid.predict(docs).collect()}, 0, 0
+    for r in rows:
+        found = sorted(((sum(g in s for g in pieces(r.text)), lang) for lang, s in own.items()), key=lambda x: (-x[0], x[1]))
+        same += got[r.doc_id].lang_pred == found[0][1]
+        near += abs(got[r.doc_id].score - found[0][0] / max(1, found[0][0] + found[1][0])) < 0.02
+    assert same >= 0.99 * len(rows) and near >= 0.97 * len(rows)
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    """Spanish held out of the labels, and letter noise, go; texts of the learned languages stay."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(6)
+    noise = spark.createDataFrame([(10**6 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300)), None) for i in range(60)], "doc_id long, text string, lang string")
+    docs = table.select("doc_id", "text", F.when(F.col("lang") != "es", F.col("lang")).alias("lang")).unionByName(noise)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    rows = table.filter("text is not null and text rlike '[a-z]'").collect()
+    foreign, own = [r.doc_id for r in rows if r.lang == "es"], [r.doc_id for r in rows if r.lang and r.lang != "es"]
+    assert not [d for d in kept if d >= 10**6]
+    assert sum(d in kept for d in foreign) <= 0.1 * len(foreign) and sum(d in kept for d in own) >= 0.995 * len(own)
+
+
 def test_language_filters_have_no_misses():
     rng = np.random.default_rng(2)
     filters = langid.Filters(["a", "b", "c"], 1 << 14)

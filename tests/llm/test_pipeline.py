@@ -13,9 +13,11 @@ SF = "/root/testdata/sf0.01"
 def by_language(spark, rows):
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    filters = langid.train(documents(docs, "lang").filter(langid.bucket(F.col("doc_id"), 4) != 2))
-    return {d: t for d, t in rows.items() if any(c.isalpha() for c in t) and filters.decide([t.encode()])[1][0] >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    docs = documents(spark.read.parquet(f"{SF}/documents.parquet"), "lang")
+    filters = langid.train(docs.filter(langid.bucket(F.col("doc_id"), 4) != 2))
+    least = langid.cuts(filters, docs.filter(langid.bucket(F.col("doc_id"), 4) == 2))
+    decided = {d: filters.decide([t.encode()]) for d, t in rows.items()}
+    return {d: t for d, t in rows.items() if any(c.isalpha() for c in t) and decided[d][2][0] >= least[decided[d][0][0]]}
 
 
 def by_lines(rows):
