@@ -1,13 +1,19 @@
 """Line deduplication by pairwise alignment of documents that share lines.
 
-Every line (trimmed, of ``MIN_CHARS`` characters at least) names one partner: the smallest
-doc_id that holds it. So a line in a million documents gives a million links, not their square,
-and no line is too frequent to serve; rare lines give the links that no other line gives. Each
-later document is aligned with each of its partners by patience diff, over all lines of that
-length which the two share. So that a block is found whole where an early document holds its
-lines in another order, each two shared lines in a row name a partner in the same way, and so
-does the whole text. Aligned lines are deleted from the later document, and with them the
-equal lines of any length that stand next to them in both, so that a whole common block goes.
+Partners of a later document, all of a smaller doc_id:
+
+* all documents that hold a rare line of it, that is a line (trimmed, of ``MIN_CHARS`` characters
+  at least) of ``RARE`` holders at most: what two documents have for themselves shows there;
+* for a line of more holders, the first of them, so a line in a million documents gives a million
+  links, not their square, and no line is too frequent to serve;
+* the first document that holds the same two shared lines in a row, so that a block is found whole
+  where an early document holds its lines in another order.
+
+Each later document is aligned with each of its partners by patience diff, over all lines of that
+length which the two share. Aligned lines are deleted from the later document, and with them the
+equal lines of any length that stand next to them in both, so that a whole common block goes. A
+document whose lines are all those of an earlier one, in order, is one block and goes whole; it
+neither has nor is another partner.
 
 Lines travel as 128-bit hashes with their places; lines that no other document holds, and the
 short ones among them, stay behind. Texts move once, to have lines deleted.
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from quadloom.llm.common import column, documents, map_batches, spans, spool
 
 MIN_CHARS = 10
+#: All pairs of the holders of a line are aligned up to so many holders; so a line gives 15 pairs at most.
+RARE = 6
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,7 +178,7 @@ def aligned(theirs: np.ndarray, mine: np.ndarray) -> list[int]:
 
 
 def neighbours(blocks: DataFrame) -> DataFrame:
-    """Distinct pairs of shared long lines that follow each other in a document, other lines left out: hi, lo (128 bits), doc_id."""
+    """Distinct pairs of shared long lines that follow each other in a document, lines left out that no other shares: hi, lo (128 bits), doc_id."""
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         digests, owners = [], []
@@ -196,22 +204,30 @@ def _flags(places: list[list[int]]) -> list[bool]:
 
 
 def _firsts(keys: DataFrame, name: str) -> DataFrame:
-    """hi, lo and the first of at least two documents that hold them, written before it is joined back, so that Spark can split a key that very many documents hold."""
-    held = keys.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return spool(held.filter("first < last").select("hi", "lo", "first"), name)
+    """hi, lo, the first of at least two documents that hold them and their number, written before it is joined back, so that Spark can split a key that very many documents hold."""
+    held = keys.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    return spool(held.filter("first < last").select("hi", "lo", "first", "n"), name)
+
+
+def rare_pairs(shared: DataFrame, rare: int = RARE) -> DataFrame:
+    """doc_id and first: each two holders of a line of at most ``rare`` holders; sets of holders that many lines share count once."""
+    sets = shared.filter(F.col("n") <= rare).groupBy("hi", "lo").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).select("docs").distinct()
+    each = sets.select("docs", F.posexplode("docs").alias("at", "doc_id"))
+    return each.select("doc_id", F.explode(F.slice("docs", F.lit(1), F.col("at"))).alias("first"))
 
 
-def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rare: int = RARE) -> DataFrame:
     """doc_id and gone (array of flags, up to the last deleted line) of documents that lose lines."""
-    whole = spool(sequences(docs, min_chars), "sequences")
-    lines = spool(line_places(whole), "lines")
-    shared = spool(lines.join(_firsts(lines, "first-lines"), ["hi", "lo"]).select("doc_id", "first", "places"), "shared-lines")
+    every = spool(sequences(docs, min_chars), "sequences")
+    copies = spool(every.join(_firsts(every.select("hi", "lo", "doc_id"), "first-texts"), ["hi", "lo"]).filter("doc_id > first").select("hi", "lo", "doc_id", (F.octet_length("lines") / LINE.itemsize).cast("int").alias("size")), "copies")
+    whole = every.join(copies.select("hi", "lo", "doc_id"), ["hi", "lo", "doc_id"], "left_anti")
+    lines = spool(line_places(whole.select("doc_id", "lines")), "lines")
+    shared = spool(lines.join(_firsts(lines, "first-lines"), ["hi", "lo"]).select("hi", "lo", "doc_id", "first", "n", "places"), "shared-lines")
     held = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("shared"))
     blocks = spool(map_batches(whole.select("doc_id", "lines").join(held, "doc_id"), lambda batch: {"doc_id": batch.column(0), "lines": list(map(_blocks, batch.column(1).to_pylist(), batch.column(2).to_pylist()))}, "doc_id long, lines binary"), "blocks")
-    # A line's first holder may have it in another order: who first holds two lines in a row, or the whole text, is a partner too.
-    rows = spool(neighbours(blocks).unionByName(whole.select("hi", "lo", "doc_id")), "neighbours")
-    linked = shared.select("doc_id", "first").unionByName(rows.join(_firsts(rows, "first-neighbours"), ["hi", "lo"]).select("doc_id", "first"))
-    pairs = spool(linked.filter("doc_id > first").distinct(), "pairs")
+    rows = spool(neighbours(blocks), "neighbours")
+    linked = shared.filter(F.col("n") > rare).select("doc_id", "first").unionByName(rows.join(_firsts(rows, "first-neighbours"), ["hi", "lo"]).select("doc_id", "first"))
+    pairs = spool(linked.filter("doc_id > first").unionByName(rare_pairs(shared, rare)).distinct(), "pairs")
     theirs = pairs.join(blocks.select(F.col("doc_id").alias("first"), F.col("lines").alias("theirs")), "first").select("doc_id", "theirs")
 
     def per_batch(batch: pa.RecordBatch) -> dict:
@@ -219,6 +235,7 @@ def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return {"doc_id": batch.column(0), "places": [aligned(np.frombuffer(a, LINE), np.frombuffer(b, LINE)) for a, b in rows]}
 
     places = map_batches(theirs.join(blocks, "doc_id").select("doc_id", "theirs", "lines"), per_batch, "doc_id long, places array<int>")
+    places = places.unionByName(copies.select("doc_id", F.sequence(F.lit(0), F.col("size") - 1).alias("places")))
     gone = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     return map_batches(gone, lambda batch: {"doc_id": batch.column(0), "gone": list(map(_flags, batch.column(1).to_pylist()))}, "doc_id long, gone array<boolean>")
 

@@ -20,25 +20,6 @@ def by_language(spark, rows):
     return {d: t for d, t in rows.items() if any(c.isalpha() for c in t) and decided[d][2][0] >= least[decided[d][0][0]]}
 
 
-def by_lines(rows):
-    strip = lambda x: x.encode().strip().decode()
-    first, out = {}, {}
-    for doc in sorted(rows):
-        for line in map(strip, rows[doc].split("\n")):
-            if len(line) >= linedup.MIN_CHARS:
-                first.setdefault(line, doc)
-    for doc, text in rows.items():
-        lines, gone = text.split("\n"), set()
-        for owner in {first[strip(x)] for x in lines if strip(x) in first} - {doc}:
-            mine = [(j, strip(x)) for j, x in enumerate(lines) if first.get(strip(x)) == owner]
-            theirs = [strip(x) for x in rows[owner].split("\n") if first.get(strip(x)) == owner and strip(x) in {x for _, x in mine}]
-            gone |= {mine[j][0] for _, j in linedup.patience(theirs, [x for _, x in mine])}
-        left = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-        if not gone or left.encode().split():
-            out[doc] = left
-    return out
-
-
 def by_fingerprint(rows):
     def fingerprint(text):
         words = text.encode().lower().split()
