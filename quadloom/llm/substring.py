@@ -12,8 +12,8 @@ own Rabin-Karp hash, position and document, and Spark finds each hash's smallest
 Exact copies of a whole text are known beforehand: each later one loses every window, and only
 the first takes part in the search.
 
-Hashes are 64 bits of word hashes of 64 bits (XXH64); two different windows are confused only if
-both their window hashes and those of a shared minimizer collide with others at the same time.
+Hashes are 64 bits of word hashes of 64 bits (XXH64), and windows are joined by their own hash and
+their minimizer together: two different windows are confused only if both collide at once.
 """
 
 from __future__ import annotations
@@ -114,8 +114,8 @@ def _shared_windows(batch: pa.RecordBatch, window: int) -> dict:
     low, high = np.searchsorted(text, np.arange(batch.num_rows)), np.searchsorted(text, np.arange(batch.num_rows), "right")
     for i in range(batch.num_rows):
         keep[low[i] : high[i]] = np.isin(least[low[i] : high[i]], flat[at[i] : at[i + 1]])
-    text, start, whole = text[keep], start[keep], whole[keep]
-    return {"hash": whole.view(np.int64), "doc_id": batch.column(0).to_numpy(zero_copy_only=False)[text], "at": start - offsets[text]}
+    text, start, whole, least = text[keep], start[keep], whole[keep], least[keep]
+    return {"hash": whole.view(np.int64), "least": least.view(np.int64), "doc_id": batch.column(0).to_numpy(zero_copy_only=False)[text], "at": start - offsets[text]}
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -146,9 +146,9 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -
     # key that very many documents share, below an aggregate it couldn't.
     shared = spool(marks.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("least"), "shared-minimizers")
     lists = spool(marks.join(shared, "least").groupBy("doc_id").agg(F.collect_list("least").alias("shared")), "shared")
-    found = map_batches(docs.join(lists, "doc_id"), lambda batch: _shared_windows(batch, window), "hash long, doc_id long, at int")
-    first = spool(found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "first"), "first-windows")
-    return found.join(first, "hash").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    found = spool(map_batches(docs.join(lists, "doc_id"), lambda batch: _shared_windows(batch, window), "hash long, least long, doc_id long, at int"), "windows")
+    first = spool(found.groupBy("hash", "least").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "least", "first"), "first-windows")
+    return found.join(first, ["hash", "least"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
