@@ -8,7 +8,11 @@ document (free), behind a sentence (``SENTENCE_PENALTY``) or, where neither come
 
 where padding is size - length, or 0 if the length is a power of two. The first form depends on i
 only through cost[i] + c[i], so a monotone queue gives each minimum in constant time; the powers
-of two are three direct look-ups.
+of two, from 1 to below size, are direct look-ups.
+
+A task settles its documents in blocks of at least ``BLOCK_TOKENS`` tokens: the cuts of a block are
+the best for the block, and its last two sequences, which the block's end bends, are cut anew
+with the next one. So cuts are the best possible up to two sequences a block.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from quadloom.llm.common import documents, regrouped, spans, tidy, tune
 SIZE, END_ID = 2048, 1
 #: Costs in padded tokens.
 SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP = 4, 64, 128
-#: Tokens that a task holds before it settles all but the last two sequences of them.
+#: Tokens that a task holds, at least, before it settles all but the last two sequences of them.
 BLOCK_TOKENS = 1 << 19
 
 
@@ -53,7 +57,7 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int
     c, pen = at.tolist(), penalty.tolist()
     index = np.full(c[-1] + 1, -1, np.int64)
     index[at] = np.arange(len(at))
-    powers = [size >> k for k in range(1, 4) if size >> k and (size >> k) & ((size >> k) - 1) == 0]
+    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
     jumps = [np.where(at >= p, index[np.maximum(at - p, 0)], -1).tolist() for p in powers]
     cost, back, value = [0] * len(c), [0] * len(c), [0] * len(c)
     queue: deque[int] = deque([0])

@@ -72,6 +72,11 @@ def test_round_trip(spark, docs, texts, tokenizer):
         start += len(ids)
 
 
+def _cost(n, size):
+    """Padding of a sequence of n tokens, by the contract: to the full size, except at a power of two."""
+    return 0 if n & (n - 1) == 0 else size - n
+
+
 def _best(at, penalty, size):
     """All transitions, without the queue."""
     cost = [0] + [None] * (len(at) - 1)
@@ -79,28 +84,54 @@ def _best(at, penalty, size):
         for i in range(j):
             n = at[j] - at[i]
             if n <= size and cost[i] is not None:
-                pad = 0 if n in (size >> 1, size >> 2, size >> 3) else size - n
-                now = cost[i] + pad + penalty[j]
+                now = cost[i] + _cost(n, size) + penalty[j]
                 cost[j] = now if cost[j] is None else min(cost[j], now)
     return cost[-1]
 
 
 def test_packing_is_optimal():
     rng = np.random.default_rng(3)
-    for _ in range(60):
+    for _ in range(120):
         lengths = rng.integers(1, 90, rng.integers(1, 12))
         ends = np.cumsum(lengths)
         sentences = np.unique(rng.integers(1, ends[-1] + 1, 8))
         at, penalty = packing.boundaries(ends, sentences, 64)
         cuts = packing.best_cuts(at, penalty, 64)
         where = dict(zip(at.tolist(), penalty.tolist(), strict=True))
-        cost = sum((0 if (b - a) in (32, 16, 8) else 64 - (b - a)) + where[b] for a, b in zip(cuts, cuts[1:], strict=False))
+        cost = sum(_cost(b - a, 64) + where[b] for a, b in zip(cuts, cuts[1:], strict=False))
         assert max(np.diff(cuts)) <= 64 and cuts[0] == 0 and cuts[-1] == ends[-1] and cost == _best(at.tolist(), penalty.tolist(), 64)
         tail = packing.split_tail(cuts, 64)
         assert tail[-1] == cuts[-1] and tail[: len(cuts) - 1] == cuts[:-1]
+    assert packing.best_cuts(*packing.boundaries(np.array([128, 2176]), np.empty(0, np.int64))) == [0, 128, 2176]
+
+
+@pytest.mark.parametrize("block", [1, 3000, 20_000])
+def test_packing_in_several_blocks(docs, texts, tokenizer, monkeypatch, block):
+    """A task's documents in blocks: every id once and in order, sequences whole, little more cost than in one block."""
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)})))
+    some = texts[:90]
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in some[i : i + 5]], "text": [t for _, t in some[i : i + 5]]}) for i in range(0, len(some), 5)])
+
+    def run(size):
+        monkeypatch.setattr(packing, "BLOCK_TOKENS", size)
+        with monkeypatch.context() as m:
+            m.setattr(packing, "regrouped", lambda batches: batches)
+            return pa.Table.from_batches(packing._pack(batches(), bpe.default_path(), 1, 2048, True)).to_pandas()
+
+    whole, rows = run(1 << 30), run(block)
+    for doc, text in some:
+        own = rows[rows.doc_id == doc].sort_values("start")
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert [i for piece in own.ids for i in piece] == ids and set(own.doc_tokens) == {len(ids)} and own.start.tolist() == [0, *np.cumsum(own.length)[:-1]]
+    assert sorted(set(rows.sequence_id)) == [(3 << 40) + i for i in range(rows.sequence_id.nunique())]
+    used = [rows.groupby("sequence_id")["length"].sum(), whole.groupby("sequence_id")["length"].sum()]
+    for sequence, own in rows.groupby("sequence_id"):
+        assert own.sort_values("offset").offset.tolist() == [0, *np.cumsum(own.sort_values("offset").length)[:-1]]
+    padding, best = (sum(_cost(int(n), 2048) for n in x) for x in used)
+    assert used[0].max() <= 2048 and padding <= best + 0.02 * used[0].sum()
 
 
-def test_packing_whole(spark, docs, texts, tokenizer, monkeypatch):
+def test_packing_whole(docs, texts, tokenizer):
     rows = packing.pack(docs, with_ids=True).toPandas()
     used = {}
     for doc, text in texts:
@@ -115,7 +146,6 @@ def test_packing_whole(spark, docs, texts, tokenizer, monkeypatch):
         used[sequence] = int(own.length.sum())
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in used.values())
     assert max(used.values()) <= 2048 and padding < 0.03 * sum(used.values())
-    monkeypatch.setattr(packing, "BLOCK_TOKENS", 3000)  # blocks settle within a partition too
 
 
 def test_language_held_out(spark):
