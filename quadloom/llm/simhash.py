@@ -3,8 +3,9 @@
 1. Fingerprints: XXH64 of 3-word shingles, majority of each bit.
 2. Distinct fingerprints are dealt to shards: the 64 bits are cut into radius + 1 blocks, and two
    fingerprints within the radius agree in one block at least, so each block's value names a
-   shard and no link is lost. Shards of over ``TREE_NODES`` fingerprints get several trees of
-   about that many nodes, and all members of the shard go to each of these trees.
+   shard and no link is lost. A shard of over ``TREE_NODES`` fingerprints is cut again in the same
+   way by the bits that its members may still differ in, until every shard is one tree of bounded
+   size: n members of a shared block give 3 n rows a turn, at most six turns, never n * n.
 3. A task builds the BK-trees of its shards (children keyed by Hamming distance to the parent)
    and follows, for each member, only the edges within distance +- radius. A tree reaches its
    queries through the shuffle, not through a broadcast: the trees of all shards together grow
@@ -121,22 +122,16 @@ def _least(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def shard_links(fps: np.ndarray, shard: np.ndarray, tree: np.ndarray, is_node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of whole shards: rows of nodes build the trees, all rows query their tree."""
-    group = np.unique(np.stack([shard, tree]), axis=1, return_inverse=True)[1].ravel()
-    order = np.lexsort((~is_node, group))
-    fps, group, is_node = fps[order], group[order], is_node[order]
-    nodes = np.flatnonzero(is_node)
-    forest = Forest(fps[nodes], group[nodes])
-    first_node = np.array([forest.root.get(int(g), -1) for g in np.unique(group)])
-    roots = first_node[group]
-    ask = np.flatnonzero(roots >= 0)
+def shard_links(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of whole shards (numbers, ascending): each shard is one tree, and all its members query it."""
+    forest = Forest(fps, shard)
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    roots = np.repeat(first, np.diff(np.append(first, len(shard))))
     points, back = np.unique(fps, return_inverse=True)
     labels = np.arange(len(points))
-    for i in range(0, len(ask), 1 << 14):
-        some = ask[i : i + (1 << 14)]
-        q, p = forest.search(fps[some], roots[some], radius)
-        a, b = back[some[q]], back[nodes[p]]
+    for i in range(0, len(fps), 1 << 14):
+        q, p = forest.search(fps[i : i + (1 << 14)], roots[i : i + (1 << 14)], radius)
+        a, b = back[i + q], back[p]
         if (different := a != b).any():
             labels = _least(labels, a[different], b[different])
     moved = np.flatnonzero(labels != np.arange(len(points)))
@@ -144,38 +139,64 @@ def shard_links(fps: np.ndarray, shard: np.ndarray, tree: np.ndarray, is_node: n
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard and tree; a tree's rows are never divided."""
-    held: list[tuple[np.ndarray, ...]] = []
+    """Rows (mask, value, fp) come sorted by shard; a shard's rows are never divided."""
+    held: list[np.ndarray] = []
+    n = 0
 
-    def settle(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        a, b = shard_links(rows[2].view(np.uint64), rows[0], rows[1], rows[3].astype(bool), radius)
+    def settle(rows: np.ndarray) -> pa.RecordBatch:
+        shard = np.cumsum((np.diff(rows[0], prepend=rows[0][:1]) != 0) | (np.diff(rows[1], prepend=rows[1][:1]) != 0))
+        a, b = shard_links(rows[2].view(np.uint64), shard, radius)
         return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     for batch in batches:
-        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
-        if sum(len(x[0]) for x in held) >= TOGETHER:
-            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            upto = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1]) + 1 if (rows[0] != rows[0][-1]).any() or (rows[1] != rows[1][-1]).any() else 0
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
+        n += batch.num_rows
+        if n >= TOGETHER:
+            rows = np.concatenate(held, axis=1)
+            other = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0))
+            upto = int(other[-1]) + 1 if len(other) else 0
             if upto:
-                yield settle(tuple(x[:upto] for x in rows))
-            held = [tuple(x[upto:] for x in rows)]
-    if held and sum(len(x[0]) for x in held):
-        yield settle(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield settle(np.ascontiguousarray(rows[:, :upto]))
+            held, n = [rows[:, upto:]], rows.shape[1] - upto
+    if n:
+        yield settle(np.concatenate(held, axis=1))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """A mask of agreed bits with each of radius + 1 parts of the other bits added."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = radius + 1
+    return [mask | sum(1 << b for b in free[len(free) * i // parts : len(free) * (i + 1) // parts]) for i in range(parts)]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Spanning links (a, b) among distinct fingerprints fp at ``radius`` or fewer differing bits."""
     tune(distinct.sparkSession)
-    blocks = radius + 1
-    ends = [64 * i // blocks for i in range(blocks + 1)]
-    keys = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - high), 64 - (high - low)).alias("value")) for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
-    shards = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", (F.col("key.value") * blocks + F.col("key.block")).alias("shard"))
-    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    # Shards of one member have no links; the others learn how many trees they need.
-    members = shards.join(sizes, "shard").withColumn("trees", F.ceil(F.col("n") / tree_nodes))
-    own = F.pmod(F.xxhash64("fp"), F.col("trees"))
-    dealt = members.select("shard", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree")).select("shard", "tree", "fp", (F.col("own") == F.col("tree")).cast("long").alias("is_node"))
-    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(tidy(lambda it: _search(it, radius)), "a long, b long")
+    masks, rows = [0], distinct.select("fp", F.lit(0).cast("long").alias("mask"))
+    out = None
+    while masks:
+        cut = {m: finer(m, radius) for m in masks}
+        table = F.create_map(*[x for m, new in cut.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in new]))])
+        shards = rows.select("fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        # Written before they are joined back, so that Spark can split a shard that very many share.
+        sizes = spool(shards.groupBy("mask", "value").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
+        # So few open bits that all members are within the radius, or as good as none, need no finer cut.
+        masks = sorted({k for new in cut.values() for k in new if 64 - k.bit_count() > radius})
+        hot = F.col("n") > tree_nodes
+        if masks:
+            hot = hot & F.col("mask").isin(*map(_signed, masks))
+        found = shards.join(sizes.filter(~hot if masks else F.lit(True)).select("mask", "value"), ["mask", "value"]).select("mask", "value", "fp")
+        some = found.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(tidy(lambda it: _search(it, radius)), "a long, b long")
+        out = some if out is None else out.unionByName(some)
+        if not masks or (larger := sizes.filter(hot)).isEmpty():
+            return out
+        masks = sorted(m & (1 << 64) - 1 for (m,) in larger.select("mask").distinct().collect())  # 3 ** turn at most
+        rows = spool(shards.join(larger.select("mask", "value"), ["mask", "value"]).select("fp", "mask"), "hot-shards")
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, fingerprint_table: DataFrame | None = None) -> DataFrame:
@@ -186,8 +207,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     (component_id is null if no member has a doc_id). An empty table gives no rows.
     """
     prints = spool(fingerprint_table if fingerprint_table is not None else fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
-    classes = distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = spool(distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    named = spool(classes.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     return prints.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -304,6 +304,23 @@ def test_forest_finds_all_within_radius():
         assert set(zip(q.tolist(), p.tolist(), strict=True)) == want
 
 
+def test_finer_masks():
+    for mask in (0, 0b1011, (1 << 43) - 1, (1 << 64) - 8):
+        parts = [new ^ mask for new in simhash.finer(mask, 2)]
+        assert sum(parts) == (1 << 64) - 1 - mask and all(p & q == 0 for p in parts for q in parts if p is not q) and all(p & mask == 0 and p for p in parts)
+
+
+def test_links_of_many_that_share_a_block(spark):
+    """20,000 fingerprints that agree in 21 bits, with planted neighbours: no row count near the square, no link lost."""
+    rng = random.Random(9)
+    low = (1 << 21) - 1
+    base = [rng.getrandbits(63) & ~low | 0x12345 for _ in range(18_000)]
+    near = [b ^ (1 << rng.randrange(21, 62)) ^ (1 << rng.randrange(21, 62)) for b in base[:2000]]
+    made = spark.createDataFrame([(f,) for f in {*base, *near}], "fp long")
+    roots = {r.u: r.v for r in components.components(simhash.links(made, tree_nodes=256)).collect()}
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in zip(base, near, strict=False)) and len(roots) <= 2100
+
+
 @pytest.mark.parametrize("nodes", [3, 4096])
 def test_links_keep_components(spark, nodes):
     rng = random.Random(8)
