@@ -59,9 +59,30 @@ def test_wavelet_matrix():
     for value in (0, 1, 2, 77, 48_999, 65_535, 1 << 20):
         at = np.flatnonzero(ids == value)
         assert [matrix.rank(value, n) for n in (0, 1, 25_000, 50_000)] == [int((at < n).sum()) for n in (0, 1, 25_000, 50_000)]
-        assert [matrix.select(value, k) for k in range(min(4, len(at)))] == at[:4].tolist() and matrix.select(value, len(at)) == -1
+        ks = sorted({0, 1, 2, 3, len(at) // 3, len(at) // 2, len(at) - 2, len(at) - 1} & set(range(len(at))))
+        assert [matrix.select(value, k) for k in ks] == at[ks].tolist() and matrix.select(value, len(at)) == -1 and matrix.select(value, -1) == -1
+        assert matrix.occurrences(value).tolist() == at.tolist()
     empty = wavelet.WaveletMatrix(wavelet.encode_shard(np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)))
-    assert empty.n == 0 and len(empty.tokens()) == 0 and empty.rank(1, 5) == 0
+    assert empty.n == 0 and len(empty.tokens()) == 0 and empty.rank(1, 5) == 0 and empty.select(1, 0) == -1 and len(empty.occurrences(0)) == 0
+
+
+def test_wavelet_queries_inflate_little(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 128)
+    ids = np.random.default_rng(2).integers(0, 500, 30_000).astype(np.uint32)
+    data = wavelet.encode_shard(ids, np.array([4]), np.array([30_000]))
+    for ask, want in ((lambda m: m.access(12_345), ids[12_345]), (lambda m: m.rank(77, 20_000), (ids[:20_000] == 77).sum()), (lambda m: m.select(3, 20), np.flatnonzero(ids == 3)[20])):
+        matrix = wavelet.WaveletMatrix(data)
+        assert ask(matrix) == want and matrix.inflated <= 5 * matrix.width < matrix.width * matrix.chunks
+    assert (wavelet.WaveletMatrix(data).tokens() == ids).all()
+
+
+def test_ids_in_a_folder_of_shards(spark, docs, texts, tokenizer, tmp_path):
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(docs, path, shard_tokens=5000)
+    all_ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in texts}
+    for value in (2, all_ids[texts[5][0]][3], 48_000, 1 << 30):
+        want = sorted((d, i) for d, ids in all_ids.items() for i, x in enumerate(ids) if x == value)
+        assert wavelet.count_id(spark, path, value) == len(want) and sorted(map(tuple, wavelet.find_id(spark, path, value).collect())) == want
 
 
 def test_round_trip(spark, docs, texts, tokenizer):
