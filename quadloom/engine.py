@@ -14,19 +14,30 @@ from quadloom.operators.cardinality import Statistics, describe
 from quadloom.plans import algebra as A
 from quadloom.plans.parser import parse, parse_update
 from quadloom.plans.planner import Context, Planner
+from quadloom.sources.tables import Tables
 
 
 @dataclass
 class Engine:
-    """query() answers any query form; update() replaces the quads by a new version."""
+    """query() answers any query form; update() replaces the quads by a new version.
+
+    quads: a DataFrame, or ``Tables``. distinct_graphs: no triple is in two graphs; where that isn't
+    known (None), the engine looks once how many graphs there are.
+    """
 
     spark: SparkSession
-    quads: DataFrame
+    quads: DataFrame | Tables
     join_order: str = "cardinality"
     statistics: list[Statistics] = field(default_factory=list)
     services: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     load: Callable[[str], DataFrame] | None = None
     link_filters: list = field(default_factory=list)
+    distinct_graphs: bool | None = None
+    tables: Tables | None = None
+
+    def __post_init__(self) -> None:
+        if isinstance(self.quads, Tables):
+            self.tables, self.quads, self.distinct_graphs = self.quads, self.quads.quads, True
 
     @classmethod
     def from_config(cls, spark: SparkSession, quads: DataFrame, path: str) -> Engine:
@@ -40,7 +51,9 @@ class Engine:
         return self
 
     def context(self) -> Context:
-        return Context(self.spark, self.quads, self.statistics, self.join_order, self.services, link_filters=self.link_filters)
+        if self.distinct_graphs is None:
+            self.distinct_graphs = self.quads.select("g").distinct().limit(2).count() < 2
+        return Context(self.spark, self.quads, self.distinct_graphs, self.tables, self.statistics, self.join_order, self.services, link_filters=self.link_filters)
 
     def query(self, query: str | A.Op) -> DataFrame | bool:
         """SELECT: term columns; CONSTRUCT and DESCRIBE: triples; ASK: a boolean."""
@@ -59,6 +72,7 @@ class Engine:
     def update(self, text: str) -> Engine:
         for one in parse_update(text):
             self.quads = updates.apply(self.quads, one, self.load)
+        self.tables = self.distinct_graphs = None
         return self
 
     def invalidate(self) -> None:

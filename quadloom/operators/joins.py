@@ -4,11 +4,14 @@ A solution table knows of each variable whether it may be unbound. Variables bou
 are plain equi-join keys, for Catalyst to pick broadcast, shuffled hash or sort-merge. A variable
 that may be unbound would need ``a = b OR a IS NULL OR b IS NULL``, which only a nested loop can
 run; instead the join splits into disjoint branches by which side is bound, each an equi-join.
+OPTIONAL, MINUS and EXISTS split likewise: the left rows by which variables they bind, and for each
+part the right rows that can match it.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -102,17 +105,55 @@ def compatible(left: Solutions, right: Solutions, names: dict[str, str]) -> list
     return out
 
 
+def _loose(left: Solutions, right: Solutions) -> list[str] | None:
+    """Shared variables that a side may leave unbound; None where there are too many to split by."""
+    found = [v for v in shared(left, right) if left.variables[v] or right.variables[v]]
+    return found if len(found) <= MOST_SPLITS else None
+
+
+def _parts(left: Solutions, right: Solutions, r: DataFrame, names: dict[str, str], loose: list[str]) -> Iterator[tuple[DataFrame, list[tuple[DataFrame, list[str]]]]]:
+    """Disjoint parts of left by the loose variables they bind; for each the disjoint parts of r that can match, and the key variables."""
+    firm = [v for v in shared(left, right) if v not in loose]
+    for bound in itertools.product(*[(True, False) if left.variables[v] else (True,) for v in loose]):
+        ldf, ways = left.df, []
+        for v, b in zip(loose, bound, strict=True):
+            if left.variables[v]:
+                ldf = ldf.filter(_column(v).isNotNull() if b else _column(v).isNull())
+        held = [v for v, b in zip(loose, bound, strict=True) if b]
+        for equal in itertools.product(*[(True, False) if right.variables[v] else (True,) for v in held]):
+            rdf = r
+            for v, e in zip(held, equal, strict=True):
+                if right.variables[v]:
+                    rdf = rdf.filter(_column(names[v]).isNotNull() if e else _column(names[v]).isNull())
+            ways.append((rdf, firm + [v for v, e in zip(held, equal, strict=True) if e]))
+        yield ldf, ways
+
+
+def _on(keys: list[str], names: dict[str, str], condition: Column | None) -> list[Column]:
+    return [_column(v) == _column(names[v]) for v in keys] + ([condition] if condition is not None else [])
+
+
 def optional(left: Solutions, right: Solutions, condition=None) -> Solutions:
     """Left join; condition(column of each variable) stands inside ON and sees both sides."""
     r, names = renamed(right)
-    on = compatible(left, right, names)
-    if condition is not None:
-        sight = {v: _column(names[v]) for v in right.variables} | {v: F.coalesce(_column(v), _column(names[v])) if v in right.variables and left.variables[v] else _column(v) for v in left.variables}
-        on.append(condition(sight))
+    loose = _loose(left, right)
+    sight = {v: _column(names[v]) for v in right.variables} | {v: F.coalesce(_column(v), _column(names[v])) if v in right.variables and left.variables[v] else _column(v) for v in left.variables}
+    also = condition(sight) if condition is not None else None
     out = merged(left, right, unbound_right=True)
-    df = left.df.join(r, both(on), "left")
     picked = [(F.coalesce(_column(v), _column(names[v])) if v in left.variables and left.variables[v] and v in right.variables else _column(v) if v in left.variables else _column(names[v])).alias(v) for v in out]
-    return Solutions(df.select(*picked), out)
+    if loose is None:
+        return Solutions(left.df.join(r, both(compatible(left, right, names) + ([also] if also is not None else [])), "left").select(*picked), out)
+    parts = []
+    for ldf, ways in _parts(left, right, r, names, loose):
+        if len(ways) == 1:
+            parts.append(ldf.join(ways[0][0], both(_on(ways[0][1], names, also)), "left").select(*picked))
+            continue
+        for rdf, keys in ways:
+            parts.append(ldf.join(rdf, both(_on(keys, names, also)), "inner").select(*picked))
+            ldf = ldf.join(rdf, both(_on(keys, names, also)), "left_anti")
+        nothing = [F.lit(None).cast(TERM).alias(names[v]) for v in right.variables]
+        parts.append(ldf.select("*", *nothing).select(*picked))
+    return Solutions(reduce(DataFrame.unionByName, parts), out)
 
 
 def minus(left: Solutions, right: Solutions) -> Solutions:
@@ -120,22 +161,45 @@ def minus(left: Solutions, right: Solutions) -> Solutions:
     common = shared(left, right)
     if not common:
         return left
-    r, names = renamed(Solutions(right.df, {v: right.variables[v] for v in common}))
-    on = compatible(left, right, names)
-    if all(left.variables[v] or right.variables[v] for v in common):
-        on.append(reduce(lambda a, b: a | b, [_column(v).isNotNull() & _column(names[v]).isNotNull() for v in common]))
-    return left.with_df(left.df.join(r.distinct(), both(on), "left_anti"))
+    some = Solutions(right.df, {v: right.variables[v] for v in common})
+    r, names = renamed(some)
+    r = r.distinct()
+    loose = _loose(left, some)
+    if loose is None:
+        on = compatible(left, right, names)
+        if all(left.variables[v] or right.variables[v] for v in common):
+            on.append(reduce(lambda a, b: a | b, [_column(v).isNotNull() & _column(names[v]).isNotNull() for v in common]))
+        return left.with_df(left.df.join(r, both(on), "left_anti"))
+    parts = []
+    for ldf, ways in _parts(left, some, r, names, loose):
+        for rdf, keys in ways:
+            if keys:  # without a variable that both bind nothing is removed
+                ldf = ldf.join(rdf, both(_on(keys, names, None)), "left_anti")
+        parts.append(ldf)
+    return left.with_df(reduce(DataFrame.unionByName, parts))
 
 
 def exists(left: Solutions, right: Solutions, negated: bool, condition=None) -> Solutions:
     """Semi or anti join on the shared variables; condition sees both sides."""
     r, names = renamed(right)
-    on = compatible(left, right, names)
-    if condition is not None:
-        on.append(condition({v: _column(names[v]) for v in right.variables} | {v: _column(v) for v in left.variables}))
-    if not on:
-        r = r.limit(1)
-    return left.with_df(left.df.join(r, both(on), "left_anti" if negated else "left_semi"))
+    also = condition({v: _column(names[v]) for v in right.variables} | {v: _column(v) for v in left.variables}) if condition is not None else None
+    loose = _loose(left, right)
+    if loose is None:
+        on = compatible(left, right, names) + ([also] if also is not None else [])
+        return left.with_df(left.df.join(r, both(on), "left_anti" if negated else "left_semi"))
+    kept = []
+    for ldf, ways in _parts(left, right, r, names, loose):
+        for k, (rdf, keys) in enumerate(ways):
+            on = _on(keys, names, also)
+            # Without any condition one row decides.
+            rdf = rdf if on else rdf.limit(1)
+            if not negated:
+                kept.append(ldf.join(rdf, both(on), "left_semi"))
+            if negated or k + 1 < len(ways):
+                ldf = ldf.join(rdf, both(on), "left_anti")
+        if negated:
+            kept.append(ldf)
+    return left.with_df(reduce(DataFrame.unionByName, kept))
 
 
 def union(parts: list[Solutions]) -> Solutions:

@@ -17,6 +17,17 @@ FEW_RULES = 1000
 MEMBERSHIP = ("hashFunction", "sourceCollection", "memberCollection", "binaryRepresentation", "bitSize", "hashSize", "projectedProperty", "projectedResource")
 
 
+class NoFilterList(ValueError):
+    pass
+
+
+def require(link_filters: list | None) -> list:
+    """The context's list of filters; extracting filters without one is an error."""
+    if link_filters is None:
+        raise NoFilterList("Unable to extract filters without filter output array in context")
+    return link_filters
+
+
 def halves(value: Column) -> tuple[Column, Column]:
     digest = F.md5(value.cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")

@@ -71,6 +71,13 @@ class Join(Op):
     parts: list[Op]
 
 
+@dataclass
+class Given(Op):
+    """Solutions that are known already; holder is a joins.Solutions."""
+
+    holder: object
+
+
 @dataclass
 class LeftJoin(Op):
     left: Op
@@ -234,6 +241,17 @@ def walk(op) -> Iterator:
             yield from walk(x)
 
 
+def replaced(op, old: Op, new: Op):
+    """op with the operation ``old`` (that very object) replaced by ``new``."""
+    if op is old:
+        return new
+    if isinstance(op, Op | Expr) and not isinstance(op, Given):
+        return type(op)(*[replaced(getattr(op, f.name), old, new) for f in fields(op)])
+    if isinstance(op, list | tuple):
+        return type(op)(replaced(x, old, new) for x in op)
+    return op
+
+
 def patterns(op: Op) -> list[Pattern]:
     """Every triple pattern of a query; property paths hold none."""
     return [x for x in walk(op) if isinstance(x, Pattern)]

@@ -11,20 +11,28 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.aggregate import AGGREGATES
 from quadloom.functions.scalar import FUNCTIONS, V, call, ebv, of_integer, order_key
-from quadloom.model import BNODE, IRI, LITERAL, TERM, iri, term
+from quadloom.model import BNODE, BOOLEAN, IRI, LITERAL, TERM, term
 from quadloom.operators import joins, paths
 from quadloom.operators.cardinality import Statistics
 from quadloom.operators.joins import Solutions
 from quadloom.plans import algebra as A
 from quadloom.plans import ordering
+from quadloom.sources.tables import Tables
 
 
 @dataclass
 class Context:
-    """Options of one query. link_filters is shared and grows during traversal; it always exists."""
+    """Options of one query.
+
+    link_filters is shared and grows during traversal; it always exists. distinct_graphs: no triple
+    is in two graphs, so the union of all graphs needs no distinct. tables answers stars over
+    tables by one scan.
+    """
 
     spark: SparkSession
     quads: DataFrame
+    distinct_graphs: bool = True
+    tables: Tables | None = None
     statistics: list[Statistics] = field(default_factory=list)
     join_order: str = "cardinality"
     services: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
@@ -32,8 +40,10 @@ class Context:
     default_graphs: list[str] | None = None
     named_graphs: list[str] | None = None
     link_filters: list = field(default_factory=list)
-    skip_adaptive_join: bool = False
-    wrapped_operations: list = field(default_factory=list)
+
+
+#: What makes two quads of different graphs the same triple.
+TRIPLE = ["s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang"]
 
 
 def constant(node: A.Term) -> Column:
@@ -41,11 +51,12 @@ def constant(node: A.Term) -> Column:
 
 
 def _position(name: str) -> Column:
-    if name == "s":
-        return term(F.col("s_kind"), F.col("s"))
-    if name == "o":
-        return term(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
-    return iri(F.col(name))
+    """A position of a quad, which is never unbound: a plain struct, so that Catalyst drops what nobody reads."""
+    kind, dt, lang = ("s_kind", None, None) if name == "s" else ("o_kind", "o_dt", "o_lang") if name == "o" else (None, None, None)
+    return F.struct(
+        (F.col(kind) if kind else F.lit(IRI).cast("tinyint")).alias("kind"), F.col(name).alias("value"),
+        (F.col(dt) if dt else F.lit("")).alias("dt"), (F.col(lang) if lang else F.lit("")).alias("lang"),
+    )
 
 
 class Planner:
@@ -68,8 +79,8 @@ class Planner:
             return quads.filter(F.col("g").isin(*self.c.named_graphs)) if self.c.named_graphs is not None else quads.filter("g <> ''")
         if self.c.default_graphs is not None:
             quads = quads.filter(F.col("g").isin(*self.c.default_graphs))
-            return quads.dropDuplicates(["s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang"]) if len(self.c.default_graphs) > 1 else quads
-        return quads
+            return quads.dropDuplicates(TRIPLE) if len(self.c.default_graphs) > 1 and not self.c.distinct_graphs else quads
+        return quads if self.c.distinct_graphs else quads.dropDuplicates(TRIPLE)
 
     def pattern(self, op: A.Pattern) -> Solutions:
         df = self.scope()
@@ -133,7 +144,29 @@ class Planner:
             else:
                 order = ordering.smallest_connected(parts, sizes)
             parts = [parts[i] for i in order]
-        return reduce(joins.join, [self.run(p) for p in parts])
+        return reduce(joins.join, [self.run(p) if isinstance(p, A.Op) else p for p in self.stars(parts)])
+
+    def stars(self, parts: list[A.Op]) -> list[A.Op | Solutions]:
+        """Patterns on one subject whose columns one table holds, as one scan in the place of the first of them."""
+        if self.c.tables is None or self.c.graph is not None or self.c.default_graphs is not None:
+            return parts
+        groups: dict[tuple, list[int]] = {}
+        for i, p in enumerate(parts):
+            if isinstance(p, A.Pattern) and isinstance(p.s, A.Var) and isinstance(p.p, A.Term) and (table := self.c.tables.table_of(p.p.value)):
+                groups.setdefault((p.s, table), []).append(i)
+        out: dict[int, A.Op | Solutions] = dict(enumerate(parts))
+        for (subject, table), members in groups.items():
+            objects = [parts[i].o for i in members if isinstance(parts[i].o, A.Var)]
+            # A variable that stands twice asks for an equality between cells: left to the join.
+            if len(members) > 1 and len({subject, *objects}) == 1 + len(objects):
+                df = self.c.tables.star(table, subject.name, [(parts[i].p.value, parts[i].o) for i in members])
+                out[members[0]] = Solutions(df, dict.fromkeys([subject.name, *[o.name for o in objects]], False))
+                for i in members[1:]:
+                    del out[i]
+        return list(out.values())
+
+    def _given(self, op: A.Given) -> Solutions:
+        return op.holder
 
     def _leftjoin(self, op: A.LeftJoin) -> Solutions:
         condition = (lambda sight: ebv(self.expression(op.condition, sight))) if op.condition is not None else None
@@ -145,25 +178,41 @@ class Planner:
     def _union(self, op: A.Union) -> Solutions:
         return joins.union([self.run(p) for p in op.parts])
 
+    def _exists(self, now: Solutions, part: A.Exists, negated: bool) -> Solutions:
+        inner, condition = part.child, None
+        if isinstance(inner, A.Filter) and not any(isinstance(x, A.Exists) for x in A.walk(inner.condition)):
+            # A filter inside EXISTS sees the outer row.
+            inner, condition = inner.child, lambda sight, e=inner.condition: ebv(self.expression(e, sight))
+        return joins.exists(now, self.run(inner), negated, condition)
+
     def _filter(self, op: A.Filter) -> Solutions:
         now = self.run(op.child)
         for part in _conjuncts(op.condition):
             if isinstance(part, A.Exists):
-                inner, condition = part.child, None
-                if isinstance(inner, A.Filter) and not any(isinstance(x, A.Exists) for x in A.walk(inner.condition)):
-                    # A filter inside EXISTS sees the outer row.
-                    inner, condition = inner.child, lambda sight, e=inner.condition: ebv(self.expression(e, sight))
-                now = joins.exists(now, self.run(inner), part.negated, condition)
-            elif any(isinstance(x, A.Exists) for x in A.walk(part)):
-                raise NotImplementedError("EXISTS inside another expression")
+                now = self._exists(now, part, part.negated)
             else:
-                now = now.with_df(now.df.filter(ebv(self.expression(part, _sight(now)))))
+                marked, part = self._mark_exists(now, part)
+                now = now.with_df(marked.df.filter(ebv(self.expression(part, _sight(marked)))))
         return now
 
+    def _mark_exists(self, now: Solutions, e: A.Expr) -> tuple[Solutions, A.Expr]:
+        """Each EXISTS inside an expression becomes a variable: a boolean literal on the rows that have a match and those that have none."""
+        if isinstance(e, A.Exists):
+            name = f"__exists{len(now.variables)}"
+            made = [self._exists(now, e, none).df.select("*", constant(A.text("false" if none != e.negated else "true", BOOLEAN)).alias(name)) for none in (False, True)]
+            return Solutions(made[0].unionByName(made[1]), now.variables | {name: False}), A.Value(A.Var(name))
+        if isinstance(e, A.Call):
+            args = []
+            for a in e.args:
+                now, a = self._mark_exists(now, a)
+                args.append(a)
+            return now, A.Call(e.name, tuple(args))
+        return now, e
+
     def _extend(self, op: A.Extend) -> Solutions:
         now = self.run(op.child)
-        value = self.expression(op.value, _sight(now)).term()
-        return Solutions(now.df.withColumn(op.name, value), now.variables | {op.name: True})
+        marked, value = self._mark_exists(now, op.value)
+        return Solutions(marked.df.withColumn(op.name, self.expression(value, _sight(marked)).term()), now.variables | {op.name: True})
 
     def _values(self, op: A.Values) -> Solutions:
         plain = ", ".join(f"c{i} {TERM}" for i in range(len(op.names))) or "one int"
@@ -175,14 +224,23 @@ class Planner:
         return self.within(graph=op.graph).run(op.child)
 
     def _service(self, op: A.Service) -> Solutions:
-        endpoint = op.endpoint.value if isinstance(op.endpoint, A.Term) else None
+        if isinstance(op.endpoint, A.Var):
+            # Every endpoint this engine knows, with its name bound.
+            found = [self._service(A.Service(A.named(name), op.child, op.silent)) for name in self.c.services]
+            values = [A.Values([op.endpoint.name], [[A.named(name)]]) for name in self.c.services]
+            if not found:
+                return self._values(A.Values([op.endpoint.name], []))
+            return joins.union([joins.join(x, self._values(v)) for x, v in zip(found, values, strict=True)])
         try:
-            source = self.c.services[endpoint]()
+            source = self.c.services[op.endpoint.value]
+            if hasattr(source, "solutions"):
+                return source.solutions(self.c.spark, op.child)
+            quads = source()
         except Exception:
             if op.silent:
                 return self.unit()
             raise
-        return self.within(quads=source, statistics=[], graph=None, default_graphs=None, named_graphs=None).run(op.child)
+        return self.within(quads=quads, tables=None, distinct_graphs=False, statistics=[], graph=None, default_graphs=None, named_graphs=None).run(op.child)
 
     def _from(self, op: A.From) -> Solutions:
         return self.within(default_graphs=op.default, named_graphs=op.named).run(op.child)

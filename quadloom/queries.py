@@ -15,7 +15,7 @@ from quadloom.plans import algebra as A
 from quadloom.plans import ordering
 from quadloom.plans.parser import parse
 from quadloom.sources import http, rdf
-from quadloom.sources.tables import table_quads
+from quadloom.sources.tables import Tables, table_quads
 from quadloom.storage import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def sparql(name: str, tables: str, text: str, sql: str, **types: str) -> None:
     """A query text over the quads of some tables; types cast result columns."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return values(Engine(spark, table_quads(spark, sf_dir, *tables.split())).query(P + text), **types)
+        return values(Engine(spark, Tables(spark, sf_dir, *tables.split())).query(P + text), **types)
 
     _put(name, run, sql)
 
@@ -270,14 +270,22 @@ def _star_plan(spark: SparkSession, sf_dir: str):
     return [orders, customers, nations], plan
 
 
-def _adaptive(spark: SparkSession, sf_dir: str, config: RestartConfig) -> adaptive.AdaptiveJoin:
+def _arrivals(spark: SparkSession, sf_dir: str) -> tuple:
+    """Plan and rounds: customers in two rounds, a 64th of the orders in the first, a quarter by the second, the rest in two more. Cardinalities are counts of what has arrived."""
     (orders, customers, nations), plan = _star_plan(spark, sf_dir)
-    sizes = [orders.count(), customers.count(), nations.count()]
+    orders_at = F.when(F.col("o_orderkey") % 64 == 0, 0).when(F.col("o_orderkey") % 64 < 16, 1).when(F.col("o_orderkey") % 64 < 40, 2).otherwise(3)
+    customers_at = F.col("c") % 2
+    counted = orders.select(orders_at.alias("at"), F.lit(0).alias("of")).unionByName(customers.select(customers_at.alias("at"), F.lit(1).alias("of"))).unionByName(nations.select(F.lit(0).alias("at"), F.lit(2).alias("of")))
+    n = {(r["of"], r["at"]): r["count"] for r in counted.groupBy("of", "at").count().collect()}  # one row per operand and round
     rounds = []
-    for part in range(1, 5):
-        # Orders arrive over four rounds; customers are all there from the second one on.
-        arrived = [orders.filter(F.col("o_orderkey") % 4 < part), customers.filter(F.col("c") % 2 < part), nations]
-        rounds.append((arrived, [sizes[0] * part / 40.0 if part < 3 else float(sizes[0]), float(sizes[1] if part > 1 else sizes[1] // 2), float(sizes[2])]))
+    for at in range(4):
+        new = [orders.filter(orders_at == at), customers.filter(customers_at == at) if at < 2 else None, nations if at == 0 else None]
+        rounds.append((new, [float(sum(n.get((of, k), 0) for k in range(at + 1))) for of in range(3)]))
+    return plan, rounds
+
+
+def _adaptive(spark: SparkSession, sf_dir: str, config: RestartConfig) -> adaptive.AdaptiveJoin:
+    plan, rounds = _arrivals(spark, sf_dir)
     join = adaptive.AdaptiveJoin(plan, lambda n: sorted(range(3), key=lambda i: n[i]), 1.0, config)
     join.run(rounds)
     return join
@@ -288,7 +296,18 @@ STAR = "SELECT o_orderkey, c_custkey AS c, n_nationkey AS n, n_name AS nation FR
 
 @query("adaptive_join_static_equiv", STAR)
 def _static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adaptive(spark, sf_dir, RestartConfig()).emitted
+    return _adaptive(spark, sf_dir, RestartConfig(threshold=1e-9)).emitted
+
+
+@query("adaptive_observed_trace", """WITH o AS (SELECT CASE WHEN o_orderkey % 64 = 0 THEN 0 WHEN o_orderkey % 64 < 16 THEN 1 WHEN o_orderkey % 64 < 40 THEN 2 ELSE 3 END AS w, o_custkey % 2 AS c FROM orders),
+ r AS (SELECT CAST(k AS BIGINT) AS k, (SELECT count(*) FROM o WHERE w <= k) AS orders, (SELECT count(*) FROM customer WHERE c_custkey % 2 <= k) AS customers, (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM o WHERE w < k AND c < k) AS made FROM range(4) t(k)),
+ x AS (SELECT k, CAST(orders + customers + nations AS DOUBLE) AS expected, CASE WHEN nations <= orders THEN CASE WHEN customers < nations THEN 'c,n,o' WHEN customers < orders THEN 'n,c,o' ELSE 'n,o,c' END ELSE CASE WHEN customers < orders THEN 'c,o,n' WHEN customers <= nations THEN 'o,c,n' ELSE 'o,n,c' END END AS best, made FROM r),
+ y AS (SELECT *, lag(best) OVER (ORDER BY k) AS before FROM x)
+ SELECT k AS round, expected, CASE WHEN before IS NULL THEN 'start' WHEN best = before THEN 'keep' WHEN made < ceil(0.2 * expected) THEN 'swap' ELSE 'skip' END AS action FROM y""")
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions over observed counts: orders outgrow customers in the second round, after few results."""
+    trace = _adaptive(spark, sf_dir, RestartConfig()).trace
+    return spark.createDataFrame([(t["round"], t["expected"], t["action"]) for t in trace], "round bigint, expected double, action string")
 
 
 @query("adaptive_join_forced_restart", STAR)
@@ -539,6 +558,58 @@ def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.traverse(_web(spark, sf_dir), spark.createDataFrame([("urn:region:1",)], "url string"), lambda df: linkfilters.deny_prefixes(df, rules), 4)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of customer, nation and region as a document; what a nation says of its region the region says too."""
+    quads = table_quads(spark, sf_dir, "customer", "nation", "region").withColumn("src", F.col("s"))
+    return quads.unionByName(quads.filter("p = 'urn:p:n_regionkey'").withColumn("src", F.col("o")).withColumn("g", F.lit("urn:g:copies")))
+
+
+SEEDS = [f"urn:customer:{k}" for k in range(0, 40, 3)]
+FOLLOW = P + "SELECT ?c ?name ?m { ?r p:r_name ?name . ?n p:n_regionkey ?r . ?c p:c_nationkey ?n OPTIONAL { ?c p:c_mktsegment ?m FILTER(?m > 'C') } }"
+FOLLOWED = "SELECT 'urn:customer:' || c_custkey AS c, r_name AS name, CASE WHEN c_mktsegment > 'C' THEN c_mktsegment END AS m FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (" + ", ".join(s.rsplit(":", 1)[1] for s in SEEDS) + ")"
+
+
+@query("traversal_adaptive", FOLLOWED)
+def _traversal_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers lead to nations and those to regions; the join runs while documents arrive."""
+    from quadloom.operators.hypermedia import LinkTraversal
+
+    return values(LinkTraversal(_documents(spark, sf_dir), restart=RestartConfig(threshold=1e9)).query(FOLLOW, SEEDS))
+
+
+@query("traversal_plain_join", FOLLOWED)
+def _traversal_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.operators.hypermedia import LinkTraversal
+
+    return values(LinkTraversal(_documents(spark, sf_dir), skip_adaptive_join=True).query(FOLLOW, SEEDS))
+
+
+@query("graph_union_distinct", "SELECT 'urn:nation:' || n_nationkey AS n, 'urn:region:' || n_regionkey AS r FROM nation")
+def _union_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that two graphs hold count once in the default graph."""
+    return values(Engine(spark, _documents(spark, sf_dir)).query(P + "SELECT ?n ?r { ?n p:n_regionkey ?r }"))
+
+
+sparql("exists_in_expression", "customer orders", "SELECT ?c ?big { ?c p:c_mktsegment 'BUILDING' ; p:c_acctbal ?b BIND(EXISTS { ?o p:o_custkey ?c ; p:o_totalprice ?t FILTER(?t > 400000) } AS ?big) FILTER(?b < 0 || NOT EXISTS { ?o p:o_custkey ?c ; p:o_orderstatus 'F' }) }",
+       "SELECT 'urn:customer:' || c_custkey AS c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS big FROM customer WHERE c_mktsegment = 'BUILDING' AND (c_acctbal < 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))", big="boolean")
+LOOSE = "?c p:c_mktsegment 'BUILDING' OPTIONAL { ?c p:c_nationkey ?n . ?c p:c_acctbal ?b FILTER(?b > 5000) }"
+LOOSE_SQL = "(SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_nationkey END AS n FROM customer WHERE c_mktsegment = 'BUILDING')"
+sparql("optional_loose", "customer nation", f"SELECT ?c ?n ?name {{ {LOOSE} OPTIONAL {{ ?n p:n_name ?name FILTER(?name < 'NATION_15') }} }}",
+       f"SELECT 'urn:customer:' || c_custkey AS c, 'urn:nation:' || coalesce(n, n_nationkey) AS n, n_name AS name FROM {LOOSE_SQL} LEFT JOIN nation ON (n IS NULL OR n = n_nationkey) AND n_name < 'NATION_15'")
+sparql("minus_loose", "customer nation", f"SELECT ?c ?n {{ {LOOSE} MINUS {{ ?n p:n_regionkey <urn:region:1> }} }}",
+       f"SELECT 'urn:customer:' || c_custkey AS c, 'urn:nation:' || n AS n FROM {LOOSE_SQL} WHERE n IS NULL OR n NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+sparql("exists_loose", "customer nation", f"SELECT ?c ?n {{ {LOOSE} FILTER EXISTS {{ ?n p:n_regionkey <urn:region:1> }} FILTER NOT EXISTS {{ ?n p:n_regionkey <urn:region:77> }} }}",
+       f"SELECT 'urn:customer:' || c_custkey AS c, 'urn:nation:' || n AS n FROM {LOOSE_SQL} WHERE (n IS NULL AND EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 1)) OR n IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+
+
+@query("service_variable", "SELECT 'urn:a' AS e, 'urn:nation:' || n_nationkey AS x FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'urn:b', 'urn:region:' || r_regionkey FROM region")
+def _service_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every endpoint that the engine knows answers a variable one."""
+    services = {"urn:a": lambda: table_quads(spark, sf_dir, "nation").filter("s rlike ':[0-4]$'"), "urn:b": lambda: table_quads(spark, sf_dir, "region")}
+    engine = Engine(spark, spark.createDataFrame([], QUADS), services=services)
+    return values(engine.query(P + "SELECT ?e ?x { SERVICE ?e { ?x ?p ?name FILTER(?p = p:n_name || ?p = p:r_name) } }"))
+
+
 # Requests, context and streams
 @query("http_delay_distribution", "SELECT event_id, CAST(floor(30.0 + u * 20.0 + 0.5) AS BIGINT) AS ms, CAST(floor(0.0 + u * 100.0 + 0.5) AS BIGINT) AS clipped FROM (SELECT event_id, ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events)")
 def _delay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Gate, decisions, restarts and replay suppression of the adaptive join."""
 
 import math
+import os
 
 import pytest
 
@@ -37,18 +38,36 @@ def test_no_selectivity_never_restarts_and_limits_stop():
 def _rounds(spark):
     left = spark.createDataFrame([(i % 7, i) for i in range(40)], "k int, a int")
     right = spark.createDataFrame([(i % 7, i % 3) for i in range(30)], "k int, b int")
-    return [([left.filter(f"a < {10 * r}"), right.filter(f"b < {r}")], [float(10 * r if r < 3 else 5), float(8 - r)]) for r in (1, 2, 3, 4)], left.join(right, "k").select("k", "a", "b")
+    new = lambda r: [left.filter(f"a >= {10 * r - 10} and a < {10 * r}"), right.filter(f"b = {r - 1}") if r < 4 else None]
+    return [(new(r), [float(10 * r if r < 3 else 5), float(8 - r)]) for r in (1, 2, 3, 4)], left.join(right, "k").select("k", "a", "b")
+
+
+def _plan(ops, order):
+    return ops[order[0]].join(ops[order[1]], "k").select("k", "a", "b")
 
 
 @pytest.mark.parametrize("threshold", [1e-9, 0.2, 0.5, 1e9])
 @pytest.mark.parametrize("latch", [False, True])
 def test_result_is_the_plain_join(spark, threshold, latch):
     rounds, want = _rounds(spark)
-    plan = lambda ops, order: ops[order[0]].join(ops[order[1]], "k").select("k", "a", "b")
-    join = adaptive.AdaptiveJoin(plan, lambda n: sorted(range(2), key=lambda i: n[i]), 0.5, RestartConfig(threshold=threshold, latch=latch))
-    assert sorted(map(tuple, join.run(rounds).collect())) == sorted(map(tuple, want.collect()))
-    actions = [t["action"] for t in join.trace]
-    assert actions[0] == "start" and ("swap" in actions) == (threshold == 1e9) and len(actions) == 4
+    with adaptive.AdaptiveJoin(_plan, lambda n: sorted(range(2), key=lambda i: n[i]), 0.5, RestartConfig(threshold=threshold, latch=latch)) as join:
+        assert sorted(map(tuple, join.run(rounds).collect())) == sorted(map(tuple, want.collect()))
+        actions = [t["action"] for t in join.trace]
+        assert actions[0] == "start" and ("swap" in actions) == (threshold == 1e9) and len(actions) == 4
+        written = [p.removeprefix("file:") for p in join.paths]
+        assert written and all(map(os.path.exists, written))
+    assert not any(map(os.path.exists, written)) and not join.paths
+
+
+def test_an_interval_acts_only_when_it_is_over(spark):
+    rounds, want = _rounds(spark)
+    now = [0.0]
+    join = adaptive.AdaptiveJoin(_plan, lambda n: sorted(range(2), key=lambda i: n[i]), 0.5, RestartConfig(on_metadata_update=False, interval=10, threshold=1e9), lambda: now[0])
+    for at, round in zip((0, 5, 11, 12), rounds, strict=True):
+        now[0] = at
+        join.round(*round)
+    assert [t["action"] for t in join.trace] == ["start", "keep", "swap", "keep"]
+    assert sorted(map(tuple, join.emitted.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_suppression_is_by_multiplicity_and_nulls_are_equal(spark):
