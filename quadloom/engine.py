@@ -46,8 +46,8 @@ class Engine:
         return cls(spark, quads, **{k: v for k, v in json.loads(text).items() if k in ("join_order",)})
 
     def analyze(self) -> Engine:
-        """Collect statistics, which order join operands from then on."""
-        self.statistics = list(Statistics.collect(describe(self.quads)).values())
+        """Collect statistics, which order join operands from then on: one row per predicate, however many sources there are."""
+        self.statistics = list(Statistics.collect(describe(self.quads.withColumn("src", F.lit("all")))).values())
         return self
 
     def context(self) -> Context:
@@ -75,6 +75,12 @@ class Engine:
         self.tables = self.distinct_graphs = None
         return self
 
+    def save(self, path: str) -> Engine:
+        """The quads as a new Parquet table, written by Spark's committer, and read from then on; an update's destination."""
+        self.quads.write.parquet(path)
+        self.quads = self.spark.read.schema(self.quads.schema).parquet(path)
+        return self
+
     def invalidate(self) -> None:
         """Drop what Spark has cached, so that sources are read again."""
         self.spark.catalog.clearCache()

@@ -77,7 +77,7 @@ class _Running:
 class LinkTraversal:
     """documents: all quads that can be dereferenced, src naming their document.
 
-    link_filters: rules learned on the way are noted here; without a list (None) no filter may run.
+    family: the hashes of the Bloom summaries met. link_filters: rules learned on the way are noted here; without a list (None) no filter may run.
     restart: when the topmost join changes its order; skip_adaptive_join leaves all joins plain.
     """
 
@@ -85,6 +85,7 @@ class LinkTraversal:
     use_void: bool = True
     use_bloom: bool = True
     mode: str = "reference"
+    family: str = "fnv"
     most_rounds: int | None = None
     extractors: list[Extractor] | None = None
     link_filters: list | None = field(default_factory=list)
@@ -132,8 +133,8 @@ class LinkTraversal:
             links = linkfilters.deny(links, rules)
         if self.use_bloom:
             found = linkfilters.membership_summaries(metadata)
-            summaries = found.withColumn("positions", linkfilters.bitmap_positions(F.col("bitmap")))
-            datasets = linkfilters.irrelevant_datasets(summaries, linkfilters.pattern_table(links.sparkSession, query), self.mode)
+            summaries = found.withColumn("raw", F.try_to_binary("bitmap", F.lit("base64")))
+            datasets = linkfilters.irrelevant_datasets(summaries, linkfilters.pattern_table(links.sparkSession, query), self.mode, self.family)
             self.link_filters[:] = [x for x in self.link_filters if x[0] != "bloom"] + [("bloom", datasets)]
             links = linkfilters.deny_prefixes(links, datasets)
         return links

@@ -1,7 +1,9 @@
 """Link filters: which documents need no visit, by Bloom summaries or by dataset descriptions.
 
 Membership summaries are small tables; a filter is m bits and k positions per value, by double
-hashing of the two halves of a 64-bit MD5 prefix. Deny rules are prefixes or patterns.
+hashing h1 + i * h2. Two families of h1 and h2: ``md5``, the halves of a 64-bit MD5 prefix, for
+filters of this engine; ``fnv``, 32-bit FNV-1a of the value behind an S and behind a W, the one
+that published summaries use. Deny rules are prefixes or patterns.
 """
 
 from __future__ import annotations
@@ -28,19 +30,36 @@ def require(link_filters: list | None) -> list:
     return link_filters
 
 
-def halves(value: Column) -> tuple[Column, Column]:
+#: Fixed values of FNV-1a with 32 bits, and the two seeds.
+FNV_START, FNV_PRIME, FNV_SEEDS = 0x811C9DC5, 0x01000193, (b"S", b"W")
+
+
+def fnv1a(value: Column, seed: bytes = b"") -> Column:
+    """FNV-1a of the seed and then of the UTF-8 bytes, as a bigint."""
+    start = FNV_START
+    for byte in seed:
+        start = (start ^ byte) * FNV_PRIME % (1 << 32)
+    digits = F.hex(value.cast("binary"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    byte = lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint")
+    return F.aggregate(places, F.lit(start).cast("bigint"), lambda h, i: F.pmod(h.bitwiseXOR(byte(i)) * F.lit(FNV_PRIME), F.lit(1 << 32)))
+
+
+def halves(value: Column, family: str = "md5") -> tuple[Column, Column]:
+    if family == "fnv":
+        return fnv1a(value, FNV_SEEDS[0]), fnv1a(value, FNV_SEEDS[1])
     digest = F.md5(value.cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
 
 
-def positions(value: Column, bits: Column, k: Column) -> Column:
-    h1, h2 = halves(value)
+def positions(value: Column, bits: Column, k: Column, family: str = "md5") -> Column:
+    h1, h2 = halves(value, family)
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.pmod(h1 + i.cast("bigint") * h2, bits.cast("bigint")))
 
 
-def build(values: DataFrame, key: str, value: str, bits: int, k: int) -> DataFrame:
+def build(values: DataFrame, key: str, value: str, bits: int, k: int, family: str = "md5") -> DataFrame:
     """One filter per key: the set bit positions, sorted."""
-    at = F.explode(positions(F.col(value), F.lit(bits), F.lit(k)))
+    at = F.explode(positions(F.col(value), F.lit(bits), F.lit(k), family))
     found = values.select(F.col(key), at.alias("at")).groupBy(key).agg(F.sort_array(F.collect_set("at")).alias("positions"))
     return found.select(key, F.lit(bits).alias("bits"), F.lit(k).alias("k"), "positions")
 
@@ -60,8 +79,14 @@ def bitmap(positions_set: Column, bits: Column | int) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(one(i)), 2, "0")), "")))
 
 
-def contains(positions_set: Column, value: Column, bits: Column, k: Column) -> Column:
-    return F.forall(positions(value, bits, k), lambda p: F.array_contains(positions_set, p))
+def contains(positions_set: Column, value: Column, bits: Column, k: Column, family: str = "md5") -> Column:
+    return F.forall(positions(value, bits, k, family), lambda p: F.array_contains(positions_set, p))
+
+
+def holds(raw: Column, value: Column, bits: Column, k: Column, family: str = "md5") -> Column:
+    """The same over a binary bitmap, by one byte test per position, however large the filter; a bitmap cut short holds nothing there."""
+    byte = lambda p: F.conv(F.hex(F.substring(raw, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.forall(positions(value, bits, k, family), lambda p: F.coalesce(F.getbit(byte(p), (p % 8).cast("int")) == 1, F.lit(False)))
 
 
 def _last(quads: DataFrame, predicate: str) -> Column:
@@ -88,17 +113,19 @@ def pattern_table(spark, op: A.Op) -> DataFrame:
     return spark.createDataFrame(rows, "qs string, qp string, qo string")
 
 
-def irrelevant_datasets(summaries: DataFrame, patterns: DataFrame, mode: str = "reference") -> DataFrame:
+def irrelevant_datasets(summaries: DataFrame, patterns: DataFrame, mode: str = "reference", family: str = "md5") -> DataFrame:
     """Distinct datasets that no pattern of the query can match.
 
-    summaries: dataset, projected_property, projected_resource, bits, k, positions. patterns: see
+    summaries: dataset, projected_property, projected_resource, bits, k, and positions or raw (the
+    bitmap as bytes). patterns: see
     pattern_table(); few rows, as a query has. ``reference`` prunes whatever is not shown to be
     relevant: a dataset without a usable filter goes too. ``sound`` prunes only where a filter
     proves that no pattern matches: a property filter against a pattern on that property with a
     bound subject or object that it doesn't hold.
     """
-    usable = F.col("positions").isNotNull() & (F.col("bits") > 0) & (F.col("k") > 0)
-    has = lambda c: F.col(c).isNotNull() & contains(F.col("positions"), F.col(c), F.col("bits"), F.col("k"))
+    kept, test = ("raw", holds) if "raw" in summaries.columns else ("positions", contains)
+    usable = F.col(kept).isNotNull() & (F.col("bits") > 0) & (F.col("k") > 0)
+    has = lambda c: F.col(c).isNotNull() & test(F.col(kept), F.col(c), F.col("bits"), F.col("k"), family)
     free = lambda c: F.col(c).isNull()
     prop, res = F.col("projected_property").isNotNull(), F.col("projected_resource").isNotNull()
     on_property = free("qp") | ((F.col("qp") == F.col("projected_property")) & ((free("qs") & free("qo")) | has("qs") | has("qo")))
@@ -130,14 +157,10 @@ def void_rules(quads: DataFrame) -> DataFrame:
 def deny(links: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Links that no rule (prefix or unanchored pattern) covers; links without a URL stay.
 
-    Up to ``FEW_RULES`` rules are broadcast and tried on each link. Beyond, prefixes become an
-    equi-join on the prefixes of each URL that have a rule's length, and patterns go in blocks.
+    Prefixes are an equi-join on the prefixes of each URL that have a rule's length; patterns, which
+    only a nested loop can try, go in blocks of ``FEW_RULES``.
     """
     few = rules.select("prefix", "pattern").distinct()
-    n = few.count()
-    if n <= FEW_RULES:
-        hit = F.coalesce(F.startswith(F.col(url), F.col("prefix")), F.lit(False)) | F.coalesce(F.rlike(F.col(url), F.col("pattern")), F.lit(False))
-        return links.join(few, hit, "left_anti") if n else links
     prefixes = few.filter("prefix is not null").select(F.col("prefix").alias("__prefix")).distinct()
     lengths = [r[0] for r in prefixes.select(F.length("__prefix")).distinct().collect()]  # no more than a URL has characters
     if lengths:

@@ -144,7 +144,15 @@ class Planner:
             else:
                 order = ordering.smallest_connected(parts, sizes)
             parts = [parts[i] for i in order]
-        return reduce(joins.join, [self.run(p) if isinstance(p, A.Op) else p for p in self.stars(parts)])
+        now: Solutions | None = None
+        for part in self.stars(parts):
+            source = self.c.services.get(part.endpoint.value) if isinstance(part, A.Service) and isinstance(part.endpoint, A.Term) else None
+            if now is not None and hasattr(source, "solutions") and not part.silent:
+                # An endpoint is told the bindings that its group must join with.
+                part = source.solutions(self.c.spark, part.child, now)
+            more = self.run(part) if isinstance(part, A.Op) else part
+            now = more if now is None else joins.join(now, more)
+        return now
 
     def stars(self, parts: list[A.Op]) -> list[A.Op | Solutions]:
         """Patterns on one subject whose columns one table holds, as one scan in the place of the first of them."""

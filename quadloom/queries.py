@@ -16,7 +16,7 @@ from quadloom.plans import ordering
 from quadloom.plans.parser import parse
 from quadloom.sources import http, rdf
 from quadloom.sources.tables import Tables, table_quads
-from quadloom.storage import fresh_dir
+from quadloom.storage import fresh_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -610,6 +610,38 @@ def _service_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(engine.query(P + "SELECT ?e ?x { SERVICE ?e { ?x ?p ?name FILTER(?p = p:n_name || ?p = p:r_name) } }"))
 
 
+@query("service_endpoint", "SELECT 'urn:customer:' || c_custkey AS c, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name <> 'NATION_3'")
+def _endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group pushed to an endpoint, this engine's own service, with the nations that customers have as bindings."""
+    import threading
+
+    from quadloom.service import server
+    from quadloom.sources.endpoint import Endpoint
+
+    with server(Engine(spark, Tables(spark, sf_dir, "nation")), 0) as running:
+        threading.Thread(target=running.serve_forever, daemon=True).start()
+        engine = Engine(spark, Tables(spark, sf_dir, "customer"), services={"urn:endpoint": Endpoint(f"http://127.0.0.1:{running.server_port}/sparql")})
+        found = values(engine.query(P + "SELECT ?c ?name { ?c p:c_mktsegment 'BUILDING' ; p:c_nationkey ?n SERVICE <urn:endpoint> { ?n p:n_name ?name FILTER(?name != 'NATION_3') } }"))
+        out = written(found, "endpoint")
+        running.shutdown()
+    return out
+
+
+FNV_SQL = "list_reduce(list_concat([2166136261::UBIGINT], list_transform(string_split('{seed}' || v, ''), lambda c: ord(c)::UBIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+
+
+@query("bloom_fnv_membership", f"""WITH h AS (SELECT v, region, {FNV_SQL.format(seed="S")} AS h1, {FNV_SQL.format(seed="W")} AS h2 FROM (SELECT n_name AS v, 'urn:region:' || n_regionkey AS region FROM nation UNION ALL SELECT c_name, NULL FROM customer)),
+ p AS (SELECT v, region, ((h1 + i * h2) % {BITS})::BIGINT AS pos FROM h, range({K}) r(i)), bits AS (SELECT DISTINCT region AS key, pos FROM p WHERE region IS NOT NULL),
+ probe AS (SELECT DISTINCT v, pos FROM p), hits AS (SELECT key, v, count(*) AS c FROM bits JOIN probe USING (pos) GROUP BY 1, 2), need AS (SELECT v, count(*) AS c FROM probe GROUP BY 1)
+ SELECT key, v FROM hits JOIN need USING (v) WHERE hits.c = need.c""")
+def _fnv_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters by FNV-1a as bitmaps, asked by one byte test per position."""
+    names = table(spark, sf_dir, "nation").selectExpr("'urn:region:' || n_regionkey key", "n_name v")
+    filters = linkfilters.build(names, "key", "v", BITS, K, "fnv").select("key", "bits", "k", F.unbase64(linkfilters.bitmap(F.col("positions"), BITS)).alias("raw"))
+    probes = table(spark, sf_dir, "nation").selectExpr("n_name v").unionByName(table(spark, sf_dir, "customer").selectExpr("c_name v")).distinct()
+    return probes.crossJoin(F.broadcast(filters)).filter(linkfilters.holds(F.col("raw"), F.col("v"), F.col("bits"), F.col("k"), "fnv")).select("key", "v")
+
+
 # Requests, context and streams
 @query("http_delay_distribution", "SELECT event_id, CAST(floor(30.0 + u * 20.0 + 0.5) AS BIGINT) AS ms, CAST(floor(0.0 + u * 100.0 + 0.5) AS BIGINT) AS clipped FROM (SELECT event_id, ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events)")
 def _delay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """SPARQL protocol over HTTP: python -m quadloom.service --data FILE [--port 3000]
 
 GET and POST queries (parameter ``query``, a form, or a body of application/sparql-query); POST updates (``update`` or
-application/sparql-update) where --update is given. Results as JSON, CSV or TSV; triples as N-Quads.
+application/sparql-update) where --update is given. Results as JSON, XML, CSV or TSV; triples as N-Quads, Turtle or JSON-LD.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from quadloom.engine import Engine
 from quadloom.sources import rdf
 
 JSON, CSV, TSV, QUADS = "application/sparql-results+json", "text/csv", "text/tab-separated-values", "application/n-quads"
+XML, TURTLE, JSONLD = "application/sparql-results+xml", "text/turtle", "application/ld+json"
 
 
 def answer(engine: Engine, query: str, accept: str):
@@ -26,6 +27,13 @@ def answer(engine: Engine, query: str, accept: str):
     found = engine.query(query)
     if isinstance(found, bool):
         return JSON, iter([json.dumps({"head": {}, "boolean": found})])
+    if "s_kind" in found.columns and JSONLD in accept:
+        return JSONLD, (line for part in (["["], (("," if n else "") + r[0] + "\n" for n, r in enumerate(rdf.to_jsonld(found).toLocalIterator())), ["]"]) for line in part)
+    if "s_kind" in found.columns and TURTLE in accept:
+        return TURTLE, (row[0] + "\n" for row in rdf.to_turtle(found).toLocalIterator())
+    if "s_kind" not in found.columns and XML in accept:
+        before, behind = rdf.xml_frame(found.columns)
+        return XML, (line for part in ([before], (r[0] + "\n" for r in rdf.results_xml(found).toLocalIterator()), [behind]) for line in part)
     if "s_kind" in found.columns:
         return QUADS, (row[0] + "\n" for row in rdf.to_lines(found).toLocalIterator())
     if CSV in accept or TSV in accept:

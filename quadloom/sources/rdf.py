@@ -58,11 +58,15 @@ def _written(kind: Column, value: Column, dt: Column, lang: Column) -> Column:
     return F.when(kind == IRI, F.concat(F.lit("<"), value, F.lit(">"))).when(kind == BNODE, F.concat(F.lit("_:"), value)).when(lang != "", F.concat(quoted, F.lit("@"), lang)).when(dt.isin("", STRING), quoted).otherwise(F.concat(quoted, F.lit("^^<"), dt, F.lit(">")))
 
 
+def _triple(graph: Column | None = None) -> Column:
+    none = F.lit("")
+    return F.concat(_written(F.col("s_kind"), F.col("s"), none, none), F.lit(" <"), F.col("p"), F.lit("> "), _written(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")), graph if graph is not None else none, F.lit(" ."))
+
+
 def to_lines(quads: DataFrame) -> DataFrame:
     """value: one N-Quads line (N-Triples for the default graph) per quad."""
     graph = F.when(F.col("g") != "", F.concat(F.lit(" <"), F.col("g"), F.lit(">"))).otherwise("") if "g" in quads.columns else F.lit("")
-    none = F.lit("")
-    return quads.select(F.concat(_written(F.col("s_kind"), F.col("s"), none, none), F.lit(" <"), F.col("p"), F.lit("> "), _written(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")), graph, F.lit(" .")).alias("value"))
+    return quads.select(_triple(graph).alias("value"))
 
 
 def results_csv(df: DataFrame) -> DataFrame:
@@ -87,4 +91,45 @@ def results_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[cell(F.col(f"`{c}`")).alias(c) for c in df.columns])).alias("value"))
 
 
-__all__ = ["parse_lines", "read", "results_csv", "results_json", "results_tsv", "to_lines"]
+def _xml(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def results_xml(df: DataFrame) -> DataFrame:
+    """value: one <result> per solution; unbound variables are left out. See xml_frame() for what stands around."""
+
+    def cell(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        more = F.when(c["lang"] != "", F.concat(F.lit(' xml:lang="'), _xml(c["lang"]), F.lit('"'))).when(c["dt"].isin("", STRING), "").otherwise(F.concat(F.lit(' datatype="'), _xml(c["dt"]), F.lit('"')))
+        inner = F.when(c["kind"] == IRI, F.concat(F.lit("<uri>"), _xml(c["value"]), F.lit("</uri>"))).when(c["kind"] == BNODE, F.concat(F.lit("<bnode>"), _xml(c["value"]), F.lit("</bnode>"))).otherwise(F.concat(F.lit("<literal"), more, F.lit(">"), _xml(c["value"]), F.lit("</literal>")))
+        return F.when(c.isNotNull(), F.concat(F.lit(f'<binding name="{name}">'), inner, F.lit("</binding>"))).otherwise("")
+
+    return df.select(F.concat(F.lit("<result>"), *[cell(c) for c in df.columns], F.lit("</result>")).alias("value"))
+
+
+def xml_frame(columns: list[str]) -> tuple[str, str]:
+    """What stands before and behind the results."""
+    head = "".join(f'<variable name="{c}"/>' for c in columns)
+    return f'<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>{head}</head><results>\n', "</results></sparql>\n"
+
+
+def to_turtle(quads: DataFrame) -> DataFrame:
+    """value: one Turtle statement per triple, graphs left out."""
+    return to_lines(quads.drop("g"))
+
+
+def to_trig(quads: DataFrame) -> DataFrame:
+    """value: one TriG block per quad."""
+    return quads.select(F.when(F.col("g") == "", _triple()).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit("> { "), _triple(), F.lit(" }"))).alias("value"))
+
+
+def to_jsonld(quads: DataFrame) -> DataFrame:
+    """value: one node object of expanded JSON-LD per triple, graphs left out; an array of them is a document."""
+    text = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    name = lambda kind, value: text(F.when(kind == BNODE, F.concat(F.lit("_:"), value)).otherwise(value))
+    more = F.when(F.col("o_lang") != "", F.concat(F.lit(',"@language":'), text(F.col("o_lang")))).when(F.col("o_dt").isin("", STRING), "").otherwise(F.concat(F.lit(',"@type":'), text(F.col("o_dt"))))
+    made = F.when(F.col("o_kind") == LITERAL, F.concat(F.lit('{"@value":'), text(F.col("o")), more, F.lit("}"))).otherwise(F.concat(F.lit('{"@id":'), name(F.col("o_kind"), F.col("o")), F.lit("}")))
+    return quads.select(F.concat(F.lit('{"@id":'), name(F.col("s_kind"), F.col("s")), F.lit(","), text(F.col("p")), F.lit(":["), made, F.lit("]}")).alias("value"))
+
+
+__all__ = ["parse_lines", "read", "results_csv", "results_json", "results_tsv", "results_xml", "to_jsonld", "to_lines", "to_trig", "to_turtle", "xml_frame"]

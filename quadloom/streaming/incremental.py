@@ -24,14 +24,13 @@ def replay_suppressed(stream: DataFrame, columns: list[str], run: str = "run") -
         most, current, shown = state.get if state.exists else (0, -1, 0)
         out = []
         for pdf in batches:
-            for i in pdf[run].sort_values(kind="stable").index:
-                number = int(pdf.at[i, run])
-                if number != current:
-                    current, shown = number, 0
-                shown += 1
-                if shown > most:
-                    most = shown
-                    out.append(pdf.loc[[i], columns])
+            # Rows of a key are all alike: of each run those beyond the most seen pass.
+            for number, rows in pdf.groupby(run, sort=True):
+                if int(number) != current:
+                    current, shown = int(number), 0
+                out.append(rows[columns].iloc[max(0, most - shown) :])
+                shown += len(rows)
+                most = max(most, shown)
         state.update((most, current, shown))
         if out:
             yield pd.concat(out)

@@ -194,7 +194,8 @@ def test_link_traversal_with_filters(spark):
     from quadloom.operators.hypermedia import LinkTraversal
 
     see, void, mem = traversal.COMMON[0], linkfilters.VOID, linkfilters.MEM
-    at = _filter(spark, ["urn:bob"], 64, 3)
+    # Published summaries hash by FNV-1a.
+    at = linkfilters.build(spark.createDataFrame([("k", "urn:bob")], "key string, v string"), "key", "v", 64, 3, "fnv").collect()[0].positions
     packed = spark.createDataFrame([(at,)], "p array<bigint>").select(linkfilters.bitmap(F.col("p"), 64).alias("b")).collect()[0].b
     lines = f"""http://a/1 <http://a/1> <{see}> <http://a/2> .
 http://a/1 <http://a/1> <{see}> <http://b/1> .
@@ -248,3 +249,122 @@ def test_http_service(spark):
         with pytest.raises(HTTPError, match="400"):
             get("SELECT nonsense")
         running.shutdown()
+
+
+def test_fnv1a_known_values(spark):
+    row = spark.range(1).select(*[linkfilters.fnv1a(F.lit(x)).alias(f"x{i}") for i, x in enumerate(["", "a", "foobar"])], linkfilters.fnv1a(F.lit("oobar"), b"f").alias("seeded")).first()
+    assert tuple(row) == (0x811C9DC5, 0xE40C292C, 0xBF9CF968, 0xBF9CF968)
+    text = "caf\u00e9 \u4e2d"
+    h = 0x811C9DC5
+    for b in text.encode():
+        h = (h ^ b) * 0x01000193 % (1 << 32)
+    assert spark.range(1).select(linkfilters.fnv1a(F.lit(text))).first()[0] == h
+
+
+def test_bitmaps_are_asked_by_bytes(spark):
+    values_ = [f"urn:{i}" for i in range(30)]
+    rows = spark.createDataFrame([("k", v) for v in values_], "key string, v string")
+    made = linkfilters.build(rows, "key", "v", 300, 4, "fnv").select("bits", "k", F.unbase64(linkfilters.bitmap(F.col("positions"), 300)).alias("raw"), "positions")
+    probes = spark.createDataFrame([(f"urn:{i}",) for i in range(300)], "v string")
+    both = probes.crossJoin(made.withColumnRenamed("k", "n")).select("v", linkfilters.holds(F.col("raw"), F.col("v"), F.col("bits"), F.col("n"), "fnv").alias("a"), linkfilters.contains(F.col("positions"), F.col("v"), F.col("bits"), F.col("n"), "fnv").alias("b"), linkfilters.holds(F.lit(b"").cast("binary"), F.col("v"), F.col("bits"), F.col("n"), "fnv").alias("none")).collect()
+    assert all(r.a == r.b and not r.none for r in both) and all(r.a for r in both if r.v in values_) and sum(r.a for r in both) < 90
+
+
+def test_filters_need_a_list(spark):
+    from quadloom.operators.hypermedia import LinkTraversal
+
+    quads = spark.createDataFrame([("", 2, "urn:a", "urn:p", 2, "urn:b", "", "", "urn:a")], QUADS)
+    text = "SELECT ?o { <urn:a> <urn:p> ?o }"
+    with pytest.raises(linkfilters.NoFilterList, match="without filter output array"):
+        LinkTraversal(quads, link_filters=None).query(text, ["urn:a"])
+    assert LinkTraversal(quads, link_filters=None, use_void=False, use_bloom=False).query(text, ["urn:a"]).count() == 1
+    noted: list = []
+    LinkTraversal(quads, link_filters=noted).query(text, ["urn:a"]).count()
+    assert [kind for kind, _ in noted] == ["void", "bloom"]
+
+
+def test_other_serialisations(spark):
+    import json
+    import xml.etree.ElementTree as ET
+
+    from quadloom.sources.documents import parse_documents
+
+    rows = [("", 2, "urn:a", "urn:p", 3, 'x "q" <&>\n\u00e9', "http://www.w3.org/2001/XMLSchema#string", "", ""), ("urn:g", 2, "urn:a", "urn:q", 3, "5", "http://www.w3.org/2001/XMLSchema#integer", "", ""), ("urn:g", 1, "b", "urn:r", 3, "hi", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString", "en", ""), ("", 2, "urn:a", "urn:s", 1, "b", "", "", "")]
+    quads = spark.createDataFrame(rows, QUADS)
+    join = lambda df: "\n".join(r.value for r in df.collect())
+    texts = {"text/turtle": join(rdf.to_turtle(quads)), "application/trig": join(rdf.to_trig(quads)), "application/ld+json": "[" + ",".join(r.value for r in rdf.to_jsonld(quads).collect()) + "]"}
+    assert len(json.loads(texts["application/ld+json"])) == 4
+    docs = spark.createDataFrame([(f"http://e/{i}", text, kind) for i, (kind, text) in enumerate(texts.items())], "url string, content string, media_type string")
+    for i, kind in enumerate(texts):
+        got = parse_documents(docs.filter(f"url = 'http://e/{i}'")).collect()
+        graph = lambda g: g if kind == "application/trig" else ""
+        assert sorted((r.g, r.s_kind, r.s if r.s_kind == 2 else "", r.p, r.o_kind, r.o if r.o_kind != 1 else "", r.o_dt, r.o_lang) for r in got) == sorted((graph(g), sk, s if sk == 2 else "", p, ok, o if ok != 1 else "", dt, lang) for g, sk, s, p, ok, o, dt, lang, _ in rows), kind
+    found = Engine(spark, quads).query("SELECT ?o ?none { <urn:a> ?p ?o }")
+    before, behind = rdf.xml_frame(found.columns)
+    tree = ET.fromstring(before + join(rdf.results_xml(found)) + behind)
+    ns = "{http://www.w3.org/2005/sparql-results#}"
+    assert [v.get("name") for v in tree.iter(f"{ns}variable")] == ["o", "none"] and len(list(tree.iter(f"{ns}result"))) == 3
+    assert {(x.text, x.get("datatype")) for x in tree.iter(f"{ns}literal")} == {('x "q" <&>\n\u00e9', None), ("5", "http://www.w3.org/2001/XMLSchema#integer")} and len(list(tree.iter(f"{ns}bnode"))) == 1
+
+
+def test_operations_as_text():
+    from quadloom.plans import algebra as A
+    from quadloom.plans.parser import parse
+    from quadloom.sources.endpoint import NotWritable, bound, write
+
+    text = """SELECT * { ?a <urn:p>/^<urn:q>* ?b . ?b <urn:r> "x\\"y"@en OPTIONAL { ?a <urn:s> ?c FILTER(?c > 3 || !BOUND(?b)) } FILTER(?a IN (<urn:1>, 2)) FILTER NOT EXISTS { ?a <urn:z> ?zz }
+      { ?d <urn:u> 1 } UNION { ?e <urn:v> 2.5 } MINUS { ?a <urn:w> ?d } BIND(STRLEN(STR(?a)) + 1 AS ?n) VALUES (?k ?l) { (1 UNDEF) (UNDEF "z") } GRAPH ?g { ?a ?p ?o } }"""
+    op = parse(text)
+    inner = op.child if isinstance(op, A.Project) else op
+    again = parse("SELECT * { " + write(inner) + " }")
+    assert write(again.child if isinstance(again, A.Project) else again).count("OPTIONAL") == 1
+    names = bound(inner)
+    assert names["a"] is False and names["c"] is True and names["d"] is True and names["k"] is True and names["g"] is False
+    with pytest.raises(NotWritable):
+        write(A.Distinct(inner))
+
+
+def test_bind_join_sends_bindings_in_blocks(spark, tmp_path):
+    import json as js
+
+    from quadloom.sources import endpoint
+
+    log = str(tmp_path)
+
+    def fetch(url, query):
+        import os
+        import re
+        import uuid
+
+        with open(os.path.join(log, uuid.uuid4().hex), "w") as file:
+            file.write(query)
+        found = re.findall(r"<urn:n:(\d+)>", query)
+        return js.dumps({"results": {"bindings": [{"n": {"type": "uri", "value": f"urn:n:{k}"}, "name": {"type": "literal", "value": f"name {k}"}} for k in found]}})
+
+    quads = spark.createDataFrame([("", 2, f"urn:c:{i}", "urn:in", 2, f"urn:n:{i % 120}", "", "", "") for i in range(400)], QUADS)
+    engine = Engine(spark, quads, services={"urn:e": endpoint.Endpoint("http://nowhere", fetch)})
+    rows = engine.query("SELECT ?c ?name { ?c <urn:in> ?n SERVICE <urn:e> { ?n <urn:name> ?name } }").collect()
+    assert len(rows) == 400 and {r.name.value for r in rows} == {f"name {k}" for k in range(120)}
+    sent = [open(f"{log}/{f}").read() for f in __import__("os").listdir(log)]
+    assert len(sent) == 3 and all("VALUES (?n)" in q and q.count("urn:n:") <= endpoint.BLOCK for q in sent)
+
+
+def _no_nested_loop(df) -> bool:
+    return "NestedLoop" not in df._jdf.queryExecution().toString() and "CartesianProduct" not in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rest", ["OPTIONAL { ?x <urn:w> ?z . ?z <urn:q> ?y }", "MINUS { ?x <urn:w> ?z . ?z <urn:q> ?y }", "FILTER EXISTS { ?x <urn:w> ?z . ?z <urn:q> ?y }", "FILTER NOT EXISTS { ?x <urn:w> ?z . ?z <urn:q> ?y }"])
+def test_loose_variables_need_no_nested_loop(spark, rest):
+    """One to three variables that the left may leave unbound, beside one that it binds."""
+    quads = spark.createDataFrame([("", 2, f"urn:{i % 7}", f"urn:{'pqvw'[i % 4]}", 2, f"urn:{i % 5}", "", "", "") for i in range(60)], QUADS)
+    loose = ["OPTIONAL { ?x <urn:p> ?z }", "OPTIONAL { ?x <urn:p> ?z } OPTIONAL { ?x <urn:q> ?y }"]
+    for before in loose:
+        assert _no_nested_loop(Engine(spark, quads).query(f"SELECT * {{ ?x <urn:v> ?v {before} {rest} }}")), before
+
+
+def test_stars_are_one_scan(spark):
+    from quadloom.sources.tables import Tables
+
+    plan = Engine(spark, Tables(spark, "/root/testdata/sf0.001", "customer", "nation")).query("PREFIX p: <urn:p:> SELECT ?name ?bal ?n { ?c p:c_name ?name ; p:c_acctbal ?bal ; p:c_nationkey ?n ; p:c_mktsegment 'BUILDING' }")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text and "= BUILDING)" in text
