@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, gather, map_batches, spans, words
+from quadloom.llm.common import column, documents, gather, map_batches, spans, spool, words
 from quadloom.llm.langid import bucket
 
 WINDOW, STRIDE = 32, 16
-WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ORDERS = 1 << 13, 1 << 16, 4, 12, 8, (3, 4, 5)
-#: Bound of the fit: labelled texts of each class (by a hash of doc_id).
-TRAIN_DOCS = 1200
+WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ORDERS = 1 << 13, 1 << 16, 4, 12, 16, (3, 4, 5)
+#: Bounds of the fit: labelled documents of each class (by a hash of doc_id), and bytes of texts in all.
+TRAIN_DOCS, TRAIN_BYTES = 2400, 64 << 20
 EPOCHS, OWN_FROM, BATCH, RATE, DECAY, THRESHOLD = 10, 5, 128, 0.01, 1e-4, 0.7
 #: An n-gram's log-odds count from so many training texts on.
 LEAST_TEXTS = 4
@@ -317,8 +317,12 @@ def score_texts(docs: DataFrame, net: Network | None) -> DataFrame:
     return map_batches(documents(docs), per_batch, "doc_id long, score double, predicted int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
-    """Learn from the labelled rows whose crc32(doc_id) mod 3 is not 1, a bounded sample of each class."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network | None:
+    """Learn from the labelled rows whose crc32(doc_id) mod 3 is not 1, a bounded sample of each class.
+
+    Of rows that share a doc_id the first by text teaches. Texts come in the order of the hash until
+    ``train_bytes`` are full; those that don't fit, whole, teach nothing.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(bucket(F.col("doc_id"), 3) != 1)
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -326,8 +330,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
     share = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30))
     most = {k: int((1 << 30) * min(1.0, train_docs / n)) for k, n in sizes.items()}
     known = known.filter(share < F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents(docs).filter("text is not null").join(F.broadcast(known), "doc_id").orderBy("doc_id", "text").collect()  # a bounded sample
-    return train([r["text"].encode() for r in rows], np.array([r["toxic"] for r in rows], np.int64)) if rows else None
+    rows = documents(docs).filter("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a bounded sample
+    rows = spool(rows, "toxicity-sample")
+    left_out, held = [], 0
+    for doc, size in rows.orderBy(share, "doc_id").select("doc_id", F.octet_length("text")).collect():
+        if held + size <= train_bytes:
+            held += size
+        else:
+            left_out.append(doc)
+    some = rows.filter(~F.col("doc_id").isin(left_out)).orderBy("doc_id").collect()
+    return train([r["text"].encode() for r in some], np.array([r["toxic"] for r in some], np.int64)) if some else None
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
