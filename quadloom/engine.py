@@ -37,7 +37,11 @@ class Engine:
 
     def __post_init__(self) -> None:
         if isinstance(self.quads, Tables):
-            self.tables, self.quads, self.distinct_graphs = self.quads, self.quads.quads, True
+            self.tables, self.distinct_graphs = self.quads, True
+
+    def frame(self) -> DataFrame:
+        """The quads as a DataFrame; of tables only where something needs them."""
+        return self.quads.quads if isinstance(self.quads, Tables) else self.quads
 
     @classmethod
     def from_config(cls, spark: SparkSession, quads: DataFrame, path: str) -> Engine:
@@ -47,7 +51,7 @@ class Engine:
 
     def analyze(self) -> Engine:
         """Collect statistics, which order join operands from then on: one row per predicate, however many sources there are."""
-        self.statistics = list(Statistics.collect(describe(self.quads.withColumn("src", F.lit("all")))).values())
+        self.statistics = list(Statistics.collect(describe(self.frame().withColumn("src", F.lit("all")))).values())
         return self
 
     def context(self) -> Context:
@@ -71,14 +75,15 @@ class Engine:
 
     def update(self, text: str) -> Engine:
         for one in parse_update(text):
-            self.quads = updates.apply(self.quads, one, self.load)
+            self.quads = updates.apply(self.frame(), one, self.load)
         self.tables = self.distinct_graphs = None
         return self
 
     def save(self, path: str) -> Engine:
         """The quads as a new Parquet table, written by Spark's committer, and read from then on; an update's destination."""
-        self.quads.write.parquet(path)
-        self.quads = self.spark.read.schema(self.quads.schema).parquet(path)
+        quads = self.frame()
+        quads.write.parquet(path)
+        self.quads = self.spark.read.schema(quads.schema).parquet(path)
         return self
 
     def invalidate(self) -> None:

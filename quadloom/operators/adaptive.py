@@ -156,7 +156,9 @@ class AdaptiveJoin:
             if not (self.config.latch and self.pending) and best != self.current:
                 self.current, self.pending = best, True
             if self.pending and self._due():
-                seen = self.produced if self.restarts < self.config.most else self.counted
+                # What is counted already may settle it; only else the rows since then are evaluated.
+                settled = self.restarts >= self.config.most or not self.counted < cutoff(expected, self.config.threshold)
+                seen = self.counted if settled else self.produced
                 action = decide(seen, expected, self.restarts, self.config)
                 if action == "swap":
                     self.running, self.pending = self.current, False

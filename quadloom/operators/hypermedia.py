@@ -106,11 +106,12 @@ class LinkTraversal:
             new = written(self.documents.join(frontier.withColumnRenamed("url", "src"), "src", "left_semi").select(*self.documents.columns), "documents")
             yield new
             own = new.filter(F.startswith("p", F.lit(MEM)) | F.startswith("p", F.lit(VOID))).select("s", "p", "o", F.lit(depth).alias("seq"))
-            metadata = own if metadata is None else metadata.unionByName(own)
+            if metadata is not None or not own.isEmpty():
+                metadata = own if metadata is None else metadata.unionByName(own)
             links = new.limit(0).select(F.col("s").alias("url"))
             for extract in extractors:
                 links = links.unionByName(extract(new).select(F.regexp_replace("url", "#.*$", "").alias("url")))
-            links = self.keep(links.distinct(), metadata, query)
+            links = self.keep(links.distinct(), metadata if metadata is not None else own, query, metadata is not None)
             frontier = cut(links.join(visited, "url", "left_anti"))
             self.trace.append({"round": depth, "documents": new.select("src").distinct().count(), "quads": new.count(), "links": frontier.count()})
             visited = visited.unionByName(frontier)
@@ -122,11 +123,13 @@ class LinkTraversal:
         """Quads of the documents visited."""
         return reduce(DataFrame.unionByName, self.rounds(query, seeds), self.documents.limit(0))
 
-    def keep(self, links: DataFrame, metadata: DataFrame, query: A.Op) -> DataFrame:
-        """Links that no rule learned so far denies."""
+    def keep(self, links: DataFrame, metadata: DataFrame, query: A.Op, any_metadata: bool = True) -> DataFrame:
+        """Links that no rule learned so far denies; without any metadata there is no rule."""
         if not self.use_void and not self.use_bloom:
             return links
         linkfilters.require(self.link_filters)
+        if not any_metadata:
+            return links
         if self.use_void:
             rules = linkfilters.void_rules(metadata)
             self.link_filters[:] = [x for x in self.link_filters if x[0] != "void"] + [("void", rules)]

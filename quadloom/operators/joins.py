@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +24,28 @@ from quadloom.model import TERM
 MOST_SPLITS = 3
 
 
+def key_column(variable: str) -> str:
+    return f"#{variable}"
+
+
 @dataclass
 class Solutions:
-    """df has one term column per variable (may_be_unbound says which can be null)."""
+    """df has one term column per variable (may_be_unbound says which can be null).
+
+    native: variables that are never unbound and whose terms are IRIs of a kind (the value here) and
+    an integer, which stands in key_column(variable). Two of one kind are equal if the integers are.
+    """
 
     df: DataFrame
     variables: dict[str, bool]
+    native: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.df = self.df.select(*[F.col(f"`{v}`") for v in self.variables])
+        self.df = self.df.select(*[F.col(f"`{v}`") for v in self.variables], *[F.col(f"`{key_column(v)}`") for v in self.native])
+
+    def plain(self) -> Solutions:
+        """Without the integers."""
+        return Solutions(self.df, self.variables)
 
     def with_df(self, df: DataFrame) -> Solutions:
         return replace(self, df=df)
@@ -66,8 +79,19 @@ def join(left: Solutions, right: Solutions) -> Solutions:
     common = shared(left, right)
     loose = [v for v in common if left.variables[v] or right.variables[v]]
     firm = [v for v in common if v not in loose]
+    if loose:
+        left, right = left.plain(), right.plain()
     r, names = renamed(right)
     out = merged(left, right)
+    numbered = [v for v in firm if v in left.native and left.native[v] == right.native.get(v)]
+    if left.native or right.native:
+        # Integers are joined in place of the IRIs they stand for, and go along for later joins.
+        more = {v: f"r::{key_column(v)}" for v in right.native}
+        r = right.df.select(*[_column(v).alias(n) for v, n in names.items()], *[_column(key_column(v)).alias(n) for v, n in more.items()])
+        pairs = left.df.join(r, both([_column(key_column(v)) == _column(more[v]) if v in numbered else _column(v) == _column(names[v]) for v in firm]), "inner") if firm else left.df.crossJoin(r)
+        native = right.native | left.native
+        kept = [(_column(key_column(v)) if v in left.native else _column(more[v])).alias(key_column(v)) for v in native]
+        return Solutions(pairs.select(*[(_column(v) if v in left.variables else _column(names[v])).alias(v) for v in out], *kept), out, native)
 
     def branch(ldf: DataFrame, rdf: DataFrame, keys: list[str]) -> DataFrame:
         on = both([_column(v) == _column(names[v]) for v in keys])

@@ -30,7 +30,7 @@ class Context:
     """
 
     spark: SparkSession
-    quads: DataFrame
+    quads: DataFrame | Tables
     distinct_graphs: bool = True
     tables: Tables | None = None
     statistics: list[Statistics] = field(default_factory=list)
@@ -73,6 +73,8 @@ class Planner:
     def scope(self) -> DataFrame:
         """Quads of the active graph."""
         quads, graph = self.c.quads, self.c.graph
+        if isinstance(quads, Tables):
+            quads = quads.quads
         if isinstance(graph, A.Term):
             return quads.filter(F.col("g") == graph.value) if self.c.named_graphs is None or graph.value in self.c.named_graphs else quads.limit(0)
         if graph is not None:
@@ -126,7 +128,8 @@ class Planner:
         return getattr(self, "_" + type(op).__name__.lower())(op)
 
     def _pattern(self, op: A.Pattern) -> Solutions:
-        return self.pattern(op)
+        found = self.stars([op])[0]
+        return found if isinstance(found, Solutions) else self.pattern(op)
 
     def _pathpattern(self, op: A.PathPattern) -> Solutions:
         return self.path(op)
@@ -166,9 +169,8 @@ class Planner:
         for (subject, table), members in groups.items():
             objects = [parts[i].o for i in members if isinstance(parts[i].o, A.Var)]
             # A variable that stands twice asks for an equality between cells: left to the join.
-            if len(members) > 1 and len({subject, *objects}) == 1 + len(objects):
-                df = self.c.tables.star(table, subject.name, [(parts[i].p.value, parts[i].o) for i in members])
-                out[members[0]] = Solutions(df, dict.fromkeys([subject.name, *[o.name for o in objects]], False))
+            if len({subject, *objects}) == 1 + len(objects):
+                out[members[0]] = self.c.tables.star(table, subject.name, [(parts[i].p.value, parts[i].o) for i in members])
                 for i in members[1:]:
                     del out[i]
         return list(out.values())
@@ -207,6 +209,7 @@ class Planner:
         """Each EXISTS inside an expression becomes a variable: a boolean literal on the rows that have a match and those that have none."""
         if isinstance(e, A.Exists):
             name = f"__exists{len(now.variables)}"
+            now = now.plain()
             made = [self._exists(now, e, none).df.select("*", constant(A.text("false" if none != e.negated else "true", BOOLEAN)).alias(name)) for none in (False, True)]
             return Solutions(made[0].unionByName(made[1]), now.variables | {name: False}), A.Value(A.Var(name))
         if isinstance(e, A.Call):
@@ -281,6 +284,7 @@ class Planner:
 
     def _distinct(self, op: A.Distinct) -> Solutions:
         now = self.run(op.child)
+        now = now.plain()
         return now.with_df(now.df.distinct())
 
     def _reduced(self, op: A.Reduced) -> Solutions:

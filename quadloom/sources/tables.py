@@ -7,12 +7,13 @@ patterns on one row (a star) are one scan of their columns, without a join: see
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.model import DATETIME, DOUBLE, INTEGER, IRI, LITERAL, STRING
+from quadloom.operators.joins import Solutions, key_column
 from quadloom.plans.algebra import Term, Var
 
 #: Key columns, and where foreign keys point.
@@ -53,7 +54,7 @@ class Tables:
         self.columns = {table: _columns(table, df) for table, df in self.frames.items()}
         self.places = {f"urn:p:{name}": (table, name) for table, columns in self.columns.items() for name in columns}
 
-    @property
+    @cached_property
     def quads(self) -> DataFrame:
         parts = []
         for table, df in self.frames.items():
@@ -67,9 +68,15 @@ class Tables:
     def table_of(self, predicate: str) -> str | None:
         return self.places.get(predicate, (None,))[0]
 
-    def star(self, table: str, subject: str, cells: list[tuple[str, Var | Term]]) -> DataFrame:
-        """Term columns of the subject and the object variables, of the rows that have all these cells."""
-        df, made = self.frames[table], {subject: _struct(IRI, row_iri(table, [F.col(k) for k in KEYS[table]]), "")}
+    def star(self, table: str, subject: str, cells: list[tuple[str, Var | Term]]) -> Solutions:
+        """Solutions of the rows that have all these cells: the subject and the object variables.
+
+        Where an IRI is a prefix and one integer key, the integer stands beside it for joins.
+        """
+        df, keys = self.frames[table], KEYS[table]
+        made, native = {subject: _struct(IRI, row_iri(table, [F.col(k) for k in keys]), "")}, {}
+        if len(keys) == 1:
+            native[subject] = (table, F.col(keys[0]).cast("bigint"))
         for predicate, node in cells:
             name = self.places[predicate][1]
             kind = self.columns[table][name]
@@ -77,10 +84,13 @@ class Tables:
             df = df.filter(F.col(name).isNotNull())
             if isinstance(node, Var):
                 made[node.name] = _struct(LITERAL if datatype else IRI, _cell(name, kind), datatype)
+                if name in FOREIGN:
+                    native[node.name] = (FOREIGN[name], F.col(name).cast("bigint"))
             else:
                 same = (node.kind, node.dt, node.lang) == ((LITERAL, datatype, "") if datatype else (IRI, "", ""))
                 df = df.filter(_cell(name, kind) == node.value) if same else df.filter(F.lit(False))
-        return df.select(*[c.alias(v) for v, c in made.items()])
+        df = df.select(*[c.alias(v) for v, c in made.items()], *[c.alias(key_column(v)) for v, (_, c) in native.items()])
+        return Solutions(df, dict.fromkeys(made, False), {v: prefix for v, (prefix, _) in native.items()})
 
 
 def _struct(kind: int, value: Column, datatype: str) -> Column:

@@ -279,6 +279,7 @@ def test_filters_need_a_list(spark):
         LinkTraversal(quads, link_filters=None).query(text, ["urn:a"])
     assert LinkTraversal(quads, link_filters=None, use_void=False, use_bloom=False).query(text, ["urn:a"]).count() == 1
     noted: list = []
+    quads = quads.unionByName(spark.createDataFrame([("", 2, "urn:d", linkfilters.VOID + "sparqlEndpoint", 2, "urn:e", "", "", "urn:a")], QUADS))
     LinkTraversal(quads, link_filters=noted).query(text, ["urn:a"]).count()
     assert [kind for kind, _ in noted] == ["void", "bloom"]
 
