@@ -3,6 +3,9 @@
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of its
 words one after another (special-token strings hold no white space either). Each distinct word
 is tokenized once per Python worker; a text then costs one dictionary lookup per word.
+
+That holds for vocabulary files with the normalizer and the pre-tokenizer below. Any other file is
+left to the library, text by text; sentence ends are not known then.
 """
 
 from __future__ import annotations
@@ -27,6 +30,21 @@ SENTENCE_END = "[.!?\u2026\u3002]$"
 LETTERS, MARKS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+", "[.,!?;:]+"
 MARKED, PIECE = f"^({LETTERS})({MARKS})$", f"^({LETTERS}|{MARKS})$"
 JOINED_WORDS = 300
+#: What a file must say for texts to fall into words: lower case, and no pre-token across white space.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose texts fall into words."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or [{}]
+    return (
+        [x.get("type") for x in normal.get("normalizers", [])] == NORMALIZERS
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": SPLIT} and bool(steps[0].get("invert"))
+        and bool(spec["model"].get("end_of_word_suffix")) and all("<|" in t["content"] and not any(map(str.isspace, t["content"])) for t in spec.get("added_tokens", []))
+    )
 
 
 def byte_level(text: str) -> str:
@@ -59,6 +77,9 @@ class WordIds:
         # The same model for words that are known to be single pre-tokens: many of them in one call.
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.by_words = by_words(spec)
+        if not self.by_words:
+            return
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.joined = Tokenizer.from_str(json.dumps(spec))
         vocabulary = self.tokenizer.get_vocab()
@@ -106,6 +127,9 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, the offsets of each text among them, and the offsets just behind sentence ends. Nulls count as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_words:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(each), np.uint32), spans(np.fromiter(map(len, each), np.int64, len(each))), np.empty(0, np.int64)
         # The tokenizer lower-cases; special tokens, which it looks for first, hold "<|".
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         at = np.asarray(lists.offsets)

@@ -50,6 +50,23 @@ def test_word_ids_equal_whole_texts(tokenizer):
             bpe.CACHE_WORDS = old
 
 
+def test_other_vocabularies_are_left_to_the_library(docs):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(bpe.default_path(), encoding="utf-8") as file, open(path, encoding="utf-8") as other:
+        assert bpe.by_words(json.load(file)) and not bpe.by_words(json.load(other))
+    made = ["Two  words.\n\tThree", "", None, "caf\u00e9 \u4e2d UPPER"]
+    ids, at, ends = bpe.WordIds(path).encode(pa.array(made))
+    library = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in made] and not len(ends)
+    rows = packing.pack(docs.limit(20), tokenizer=path, with_ids=True).collect()
+    assert sum(r.length for r in rows) == sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.limit(20).collect())
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     ids = (rng.zipf(1.3, 50_000) % 49_000).astype(np.uint32)
