@@ -553,6 +553,27 @@ def test_blocks_whose_lines_stand_earlier_in_another_order(spark):
     assert got[3] == "Only the third document has this.\nIts last line." and got[5] == got[7] == "" and got[6] == "Two.\nEnd."
 
 
+def test_paraphrases_are_found(spark):
+    """Reworded (every fourth word), with neighbours swapped and with halves swapped; other prose of the same words is not."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    hosts = [r.text.split() for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 160][:20]
+    rng = random.Random(3)
+    known = sorted({w for h in hosts for w in h})
+
+    def reworded(words):
+        return [rng.choice(known) if i % 4 == 1 and i < len(words) - len(words) // 5 else w for i, w in enumerate(words)]
+
+    def swapped(words):
+        return [w for i in range(0, len(words), 4) for w in (words[i : i + 2][::-1] + words[i + 2 : i + 4])]
+
+    kinds = [reworded, swapped, lambda w: w[len(w) // 2 :] + w[: len(w) // 2], lambda w: rng.sample(w, len(w))]
+    rows = [(10_000 * (k + 1) + r.item_id, " ".join([*hosts[r.item_id % len(hosts)][:80], *kind(r.text.split()), *hosts[r.item_id % len(hosts)][80:160]])) for k, kind in enumerate(kinds) for r in items]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    found = [sum((10_000 * (k + 1) + r.item_id, r.item_id) in got for r in items) for k in range(len(kinds))]
+    assert min(found[:3]) >= 0.9 * len(items) and found[3] <= 0.1 * len(items)
+
+
 def test_short_items_among_2000(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
     rng = random.Random(12)
