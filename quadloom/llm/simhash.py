@@ -28,8 +28,9 @@ from quadloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 TREE_NODES = 4096
-#: Members of whole shards that a task searches together.
-TOGETHER = 1 << 16
+#: Members of whole shards that a task holds together, and queries that it searches at once: where all members of a
+#: tree are alike each query visits every node, so memory follows QUERIES * TREE_NODES.
+TOGETHER, QUERIES = 1 << 16, 1 << 9
 
 
 def fingerprint_batch(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -129,8 +130,8 @@ def shard_links(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.nda
     roots = np.repeat(first, np.diff(np.append(first, len(shard))))
     points, back = np.unique(fps, return_inverse=True)
     labels = np.arange(len(points))
-    for i in range(0, len(fps), 1 << 14):
-        q, p = forest.search(fps[i : i + (1 << 14)], roots[i : i + (1 << 14)], radius)
+    for i in range(0, len(fps), QUERIES):
+        q, p = forest.search(fps[i : i + QUERIES], roots[i : i + QUERIES], radius)
         a, b = back[i + q], back[p]
         if (different := a != b).any():
             labels = _least(labels, a[different], b[different])
