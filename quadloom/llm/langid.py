@@ -15,15 +15,15 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import column, documents, map_batches, tidy, tune
+from quadloom.llm.common import column, documents, map_batches, spool, tidy, tune
 
 ORDERS = (3, 5)
 HASHES = 3
 #: Bounds of the fit: labelled documents (by a hash of doc_id; rare languages have as much on top) and
-#: n-grams, each language's equal part of them, those of the highest rates first.
+#: n-grams, each language's equal part of them, the most frequent (with all of the same count) first.
 TRAIN_DOCS, MAX_GRAMS = 4000, 400_000
 #: A language contains an n-gram seen so often in it, at this part at least of its best language's rate.
 LEAST_COUNT, LEAST_SHARE = 3, 0.25
@@ -132,11 +132,19 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MA
         return {"gram": out["gram"].to_numpy(np.int64), "lang": out["lang"].tolist(), "n": out["n"].to_numpy(np.int64)}
 
     counts = map_batches(rows.select("text", "lang"), per_batch, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    rates = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("all")).alias("rate"))
-    own = rates.withColumn("best", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= LEAST_SHARE * F.col("best"))
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")))
-    seen = ranked.filter(F.col("rank") <= max(1, max_grams // languages)).select("gram", "lang").toPandas()
+    counts = spool(counts, "grams")
+    # How many n-grams of a language have each count: as many rows as there are different counts.
+    held = counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).toPandas().sort_values(["lang", "n"], ascending=[True, False])
+    if not len(held):
+        return None
+    fits = held["grams"].groupby(held["lang"]).cumsum() <= max(1, max_grams // languages)
+    per = pd.DataFrame({"whole": (held["n"] * held["grams"]).groupby(held["lang"]).sum(), "least": held["n"].where(fits).groupby(held["lang"]).min()})
+    # A language whose commonest n-grams alone are too many keeps those.
+    per["least"] = per["least"].fillna(held.groupby("lang")["n"].max())
+    known = counts.sparkSession.createDataFrame([(lang, int(r.whole), int(r.least)) for lang, r in per.iterrows()], "lang string, whole long, least long")
+    rates = counts.join(F.broadcast(known), "lang").select("gram", "lang", (F.col("n") / F.col("whole")).alias("rate"), (F.col("n") >= F.col("least")).alias("kept"))
+    best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
+    seen = rates.filter("kept").join(best, "gram").filter(F.col("rate") >= LEAST_SHARE * F.col("best")).select("gram", "lang").toPandas()
     if not len(seen):
         return None
     most = int(seen["lang"].value_counts().max())
