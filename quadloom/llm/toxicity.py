@@ -97,6 +97,13 @@ class Network:
         """Input parts of the gates, (direction, word, 3 * HIDDEN)."""
         return x @ self.p["w"] + self.p["b"]
 
+    def gates(self, vocabulary: list[bytes]) -> np.ndarray:
+        """project(embed()) of many words, some at a time."""
+        out = np.empty((2, len(vocabulary), 3 * HIDDEN), np.float32)
+        for i in range(0, len(vocabulary), 1 << 14):
+            out[:, i : i + (1 << 14)] = self.project(self.embed(vocabulary[i : i + (1 << 14)])[0])
+        return out
+
     def states(self, gates: np.ndarray, index: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """States (time, direction, window, HIDDEN) over windows of word numbers; keep: also what training needs."""
         n, h, u = index.shape[1], HIDDEN, self.p["u"]
@@ -179,25 +186,23 @@ class Network:
         return g
 
 
-def _cut(numbers: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    part = numbers[start : start + WINDOW]
-    row, mask = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, bool)
-    row[: len(part)], mask[: len(part)] = part, True
-    return row, mask
-
-
 class _Texts:
     """Numbered words and all windows of some texts."""
 
     def __init__(self, texts: list[bytes]) -> None:
         split = [tokens(t) for t in texts]
         number: dict[bytes, int] = {}
-        self.docs = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in split]
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in ws], np.int32) for ws in split]
         self.vocabulary = list(number)
-        cuts = [(i, *_cut(d, int(s))) for i, d in enumerate(self.docs) if len(d) for s in windows(len(d))]
-        self.owner = np.array([c[0] for c in cuts], np.int64)
-        self.index = np.array([c[1] for c in cuts], np.int64).reshape(-1, WINDOW)
-        self.mask = np.array([c[2] for c in cuts], bool).reshape(-1, WINDOW)
+        starts = [windows(len(d)) if len(d) else np.empty(0, np.int64) for d in self.docs]
+        self.owner = np.repeat(np.arange(len(texts)), list(map(len, starts)))
+        self.index, self.mask = np.zeros((len(self.owner), WINDOW), np.int32), np.zeros((len(self.owner), WINDOW), bool)
+        at = 0
+        for d, some in zip(self.docs, starts, strict=True):
+            for s in some.tolist():
+                part = d[s : s + WINDOW]
+                self.index[at, : len(part)], self.mask[at, : len(part)] = part, True
+                at += 1
 
     def worst(self, score: np.ndarray) -> np.ndarray:
         """The window of each text with the highest score."""
@@ -222,13 +227,15 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network | No
     odds = np.log((held[1] + 0.5) / (y.sum() + 1)) - np.log((held[0] + 0.5) / (len(y) - y.sum() + 1))
     odds[held.sum(0) < LEAST_TEXTS] = 0
     word_odds = np.max([np.maximum.reduceat(np.append(odds[rows], 0), at[:-1]) * (np.diff(at) > 0) for rows, at in grams], axis=0)
-    score = np.where(data.mask, word_odds[data.index], 0).sum(1)
+    score = np.concatenate([np.where(data.mask[i : i + 4096], word_odds[data.index[i : i + 4096]], 0).sum(1) for i in range(0, len(data.owner), 4096)])
+    del grams
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
         if epoch >= OWN_FROM:
-            gates = net.project(net.embed(data.vocabulary)[0])
-            score = np.concatenate([net.score(gates, data.index[i : i + 4096], data.mask[i : i + 4096]) for i in range(0, len(data.owner), 4096)])
+            gates = net.gates(data.vocabulary)
+            score = np.concatenate([net.score(gates, data.index[i : i + 2048], data.mask[i : i + 2048]) for i in range(0, len(data.owner), 2048)])
+            del gates
         chosen = data.worst(score)
         clean = np.flatnonzero(labels[data.owner] == 0)
         chosen = rng.permutation(np.concatenate([chosen, rng.choice(clean, min(len(chosen) // 2, len(clean)), replace=False)]))
