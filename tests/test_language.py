@@ -51,7 +51,7 @@ CASES = [
     ("SELECT ?x { ?x <urn:age> ?a OPTIONAL { ?x <urn:name> ?n } FILTER(!BOUND(?n)) }", [("urn:c",)]),
     ("SELECT ?x { ?x <urn:age> ?a MINUS { ?x <urn:name> ?n } }", [("urn:c",)]),
     ("SELECT ?x { ?x <urn:age> ?a FILTER NOT EXISTS { ?x <urn:name> ?n FILTER(?n = 'Bob') } }", [("urn:a",), ("urn:c",)]),
-    ("SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?p) AS ?m) { ?s ?p ?o }", [("12", "6")]),
+    ("SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?p) AS ?m) { ?s ?p ?o }", [("11", "6")]),  # one triple is in two graphs
     ("SELECT ?g { GRAPH ?g { <urn:g1> ?p ?o } }", [("urn:graph1",), ("urn:graph2",)]),
     ("SELECT ?o FROM <urn:graph1> FROM <urn:graph2> { ?s ?p ?o }", [("1",)]),
     ("SELECT ?o FROM NAMED <urn:graph1> { GRAPH ?g { ?s ?p ?o } }", [("1",)]),
