@@ -141,6 +141,25 @@ def test_stream_suppression(spark, tmp_path):
     assert sorted(map(tuple, spark.table("kept").collect()), key=str) == sorted([("a", 1)] * 3 + [(None, 2), ("b", 3)], key=str)
 
 
+def test_stream_suppression_takes_few_calls_and_keeps_values(spark, tmp_path):
+    import datetime as dt
+    from collections import Counter
+
+    at = dt.datetime(2020, 1, 1, 0, 0, 0, 1)
+    odd = [(None, at, 2.5), ((1 << 53) + 1, at, float("nan")), ((1 << 53) + 1, at + dt.timedelta(microseconds=1), None), (None, None, None)]
+    many = [(i, at, 0.5) for i in range(20000)]
+    for run, rows in enumerate([odd + many, odd[1:] + many + many[:5000] + odd[:1] * 2500]):
+        spark.createDataFrame([(*r, run) for r in rows], "x long, `t.s` timestamp, z double, run int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("x long, `t.s` timestamp, z double, run int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    kept = incremental.replay_suppressed(stream, ["x", "t.s", "z"])
+    q = kept.writeStream.format("memory").queryName("kept_values").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert kept.dtypes == stream.dtypes[:3]
+    # The states are pages of rows, not one for each of 20004 rows, each of which was a call.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= incremental.PAGES
+    assert Counter(map(str, map(tuple, spark.table("kept_values").collect()))) == Counter(map(str, odd + many + many[:5000] + odd[:1] * 2499))
+
+
 def test_command_line(spark, tmp_path, capsys):
     from quadloom import cli
 
