@@ -607,3 +607,45 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, f"the common language speaks of many things and of number {chr(97 + i % 26)} too", "aa") for i in range(2000)] + [(5000 + i, "жили были старик со старухой у самого синего моря", "bb") for i in range(4)]
     filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=20, max_grams=120)
     assert filters.languages == ["aa", "bb"] and filters.decide(["старик у моря".encode()])[0][0] == 1
+
+
+def test_latent_model_comes_from_all_documents(spark, monkeypatch):
+    """Other ids of the same texts, more than any sample held, give the same basis; the counts behind it are those of all texts."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    texts += [f"{t} {i}" for i, t in enumerate(texts)]
+    found, fit = [], decontam.latent_basis
+    monkeypatch.setattr(decontam, "latent_basis", lambda *a: found.append(fit(*a)) or found[-1])
+    for shift in (0, 7):
+        docs = spark.createDataFrame([(i + shift, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        decontam.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet").limit(20))
+    assert len(found) == 2 and len(texts) > 1500 and (found[0] == found[1]).all()
+
+
+def test_recall_of_the_latent_search_against_brute_force(spark):
+    """All windows of all documents held against all passages by the same checks: the benchmark's items, altered, in other prose."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    rng = random.Random(5)
+    vocabulary = [w for _, t in docs[:100] for w in t.split()]
+    kinds = [
+        lambda ws: [w for w in ws if rng.random() > 0.15],
+        lambda ws: [w if rng.random() > 0.2 else rng.choice(vocabulary) for w in ws],
+        lambda ws: [x for w in ws for x in ([w, rng.choice(vocabulary)] if rng.random() < 0.3 else [w])],
+        lambda ws: [*[w for w in ws[: -max(1, len(ws) // 5)] if rng.random() > 0.4], *ws[-max(1, len(ws) // 5) :]],
+    ]
+    for k, kind in enumerate(kinds):
+        for r in items:
+            host = rng.choice(docs)[1].split()[:150]
+            cut = rng.randrange(len(host) + 1)
+            docs.append((1_000_000 * (k + 1) + r.item_id, " ".join([*host[:cut], *kind(r.text.split()), *host[cut:]])))
+    passages = decontam.Items([r.item_id for r in items], [r.text.encode() for r in items], np.zeros((decontam.DIMS, 1), np.float32), np.ones(decontam.DIMS, np.float32))
+    want = set()
+    for doc, text in docs:
+        words = decontam.tokens(text.encode())
+        held = set(words)
+        for item, passage, answer in zip(passages.ids, passages.words, passages.answers, strict=True):
+            known = set(passage)
+            if len(known & held) >= decontam.PARAPHRASE * len(known) and any(decontam.verify(words, first, size, passage, answer) for size in decontam.SIZES for first in range(0, len(words), decontam.STEP)):
+                want.add((doc, item))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
