@@ -27,7 +27,8 @@ CACHE_WORDS = 600_000
 #: A word ends a sentence if it ends in one of these.
 SENTENCE_END = "[.!?\u2026\u3002]$"
 #: Small Latin letters, which no normalization changes, with marks behind them: one or two pre-tokens.
-LETTERS, MARKS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+", "[.,!?;:]+"
+#: Marks are all of ASCII but the apostrophe, which the pre-tokenizer looks at, and < and |, of which special tokens are made.
+LETTERS, MARKS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+", "[!-&(-/:;=-@\\[-`{}~]+"
 MARKED, PIECE = f"^({LETTERS})({MARKS})$", f"^({LETTERS}|{MARKS})$"
 JOINED_WORDS = 300
 #: What a file must say for texts to fall into words: lower case, and no pre-token across white space.
@@ -56,11 +57,18 @@ class Words:
     """Ids of some words in a row, and which words end a sentence."""
 
     def __init__(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.names = pa.array([], pa.large_string())
         self.flat, self.starts, self.lengths, self.ends = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
 
-    def add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> None:
-        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 if it isn't here. One hash table a call is cheaper than a Python object a word."""
+        return pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy().astype(np.int64)
+
+    def add(self, words: pa.Array, flat: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, words])
         self.starts = np.concatenate([self.starts, len(self.flat) + spans(lengths)[:-1]])
         kind = np.uint16 if self.flat.dtype == np.uint16 and (not len(flat) or flat.max() < 1 << 16) else np.uint32
         self.flat = np.concatenate([self.flat.astype(kind, copy=False), flat.astype(kind)])
@@ -106,22 +114,22 @@ class WordIds:
 
     def _codes(self, distinct: pa.Array) -> np.ndarray:
         """Places in self.young of distinct pieces."""
-        names = distinct.cast(pa.binary()).to_pylist()
-        if len(self.young.code) + len(names) > CACHE_WORDS // 2 and self.young.code:
+        distinct = distinct.cast(pa.large_string())
+        if len(self.young) + len(distinct) > CACHE_WORDS // 2 and len(self.young):
             self.young, self.old = Words(), self.young
-        found = np.fromiter(map(self.young.code.get, names, itertools.repeat(-1)), np.int64, len(names))
+        found = self.young.find(distinct)
         if (absent := np.flatnonzero(found < 0)).size:
-            before = np.fromiter(map(self.old.code.get, [names[i] for i in absent.tolist()], itertools.repeat(-1)), np.int64, len(absent))
+            before = self.old.find(distinct.take(pa.array(absent)))
             again, at = absent[before >= 0], before[before >= 0]
             if len(again):
                 lengths = self.old.lengths[at].astype(np.int64)
-                found[again] = len(self.young.code) + np.arange(len(again))
-                self.young.add([names[i] for i in again], gather(self.old.flat, self.old.starts[at], lengths), lengths, self.old.ends[at])
+                found[again] = len(self.young) + np.arange(len(again))
+                self.young.add(distinct.take(pa.array(again)), gather(self.old.flat, self.old.starts[at], lengths), lengths, self.old.ends[at])
             if (fresh := absent[before < 0]).size:
                 words = distinct.take(pa.array(fresh))
                 order, flat, lengths = self._tokenize(words)
-                found[fresh[order]] = len(self.young.code) + np.arange(len(fresh))
-                self.young.add([names[i] for i in fresh[order]], flat, lengths, pc.match_substring_regex(words, SENTENCE_END).to_numpy(zero_copy_only=False)[order])
+                found[fresh[order]] = len(self.young) + np.arange(len(fresh))
+                self.young.add(words.take(pa.array(order)), flat, lengths, pc.match_substring_regex(words, SENTENCE_END).to_numpy(zero_copy_only=False)[order])
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,8 +147,11 @@ class WordIds:
         # A word of letters and marks is looked up as two pieces, so that its letters are met again.
         lower = pc.utf8_lower(coded.dictionary)
         # Dotted capital I is the one letter whose full lower case differs from the simple one.
-        marked = pc.and_not(pc.match_substring_regex(lower, MARKED), pc.match_substring(coded.dictionary, "\u0130"))
-        pieces = pc.ascii_split_whitespace(pc.if_else(marked, pc.replace_substring_regex(lower, MARKED, r"\1 \2"), coded.dictionary))
+        same = pc.invert(pc.match_substring(coded.dictionary, "\u0130"))
+        marked = pc.and_(pc.match_substring_regex(lower, MARKED), same)
+        # Letters alone are looked up in lower case, so that they are met again and tokenized with other plain pieces.
+        letters = pc.and_(pc.match_substring_regex(lower, f"^{LETTERS}$"), same)
+        pieces = pc.ascii_split_whitespace(pc.if_else(letters, lower, pc.if_else(marked, pc.replace_substring_regex(lower, MARKED, r"\1 \2"), coded.dictionary)))
         piece = pieces.values.dictionary_encode()
         first = np.asarray(pieces.offsets).astype(np.int64)
         word = coded.indices.to_numpy()

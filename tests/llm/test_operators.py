@@ -649,3 +649,17 @@ def test_recall_of_the_latent_search_against_brute_force(spark):
                 want.add((doc, item))
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_marks_and_capitals_are_plain_pieces(tokenizer):
+    """Each word's letters and marks are looked up for themselves, whatever ASCII marks and capitals they have; ids equal the library's."""
+    rng = random.Random(8)
+    heads = ["\u00c9queench", "\u00e9queench", "test", "TEST", "\u0130x", "\u1e9ea", "\u212ba", "\u212aa", "\u00d7a", "na\u00efve", "a'b", "x9"]
+    made = [" ".join(rng.choice(heads) + "".join(rng.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u2026") for _ in range(rng.randint(0, 3))) for _ in range(20)) for _ in range(400)]
+    made += ["a<|endoftext|>", "a<| endoftext|>b", "A<|startoftext|>$B$", "a$'s b$'t c'$s ***'re"]
+    coder = bpe.WordIds(bpe.default_path())
+    ids, at, _ = coder.encode(pa.array(made))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in tokenizer.encode_batch(made, add_special_tokens=False)]
+    few = bpe.WordIds(bpe.default_path())
+    few.encode(pa.array(["\u00c9queench \u00e9queench*** test$$$ TEST%"]))
+    assert sorted(few.young.names.to_pylist()) == sorted(["\u00e9queench", "***", "test", "$$$", "%"])
