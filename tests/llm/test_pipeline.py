@@ -81,3 +81,14 @@ def test_stages(spark):
     run = corpus_pipeline.run(spark, SF).toPandas()
     key = ["doc_id", "start"]
     assert run.sort_values(key).reset_index(drop=True).equals(packed.sort_values(key).reset_index(drop=True))
+
+
+def test_decontamination_fits_on_all_documents_of_the_stage_before(spark, monkeypatch):
+    """Every document that comes in counts for the model, whatever its id: none is sampled by it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null")
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1_000_000))
+    found, fit = [], decontam.latent_basis
+    monkeypatch.setattr(decontam, "latent_basis", lambda *a: found.append(fit(*a)) or found[-1])
+    kept = [sorted(r.text for r in corpus_pipeline.decontaminate(spark, docs.withColumn("doc_id", docs.doc_id * 3 + shift), SF).collect()) for shift in (0, 1)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+    assert len(found) == 2 and (found[0] == found[1]).all()
