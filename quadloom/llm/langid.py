@@ -11,6 +11,7 @@ n-grams that the best language knows, so corrected, tells texts of an unlearned
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,16 +23,17 @@ from quadloom.llm.common import column, documents, map_batches, spool, tidy, tun
 
 ORDERS = (3, 5)
 HASHES = 3
-#: Bounds of the fit: labelled documents (by a hash of doc_id; rare languages have as much on top) and
-#: n-grams, each language's equal part of them, the most frequent (with all of the same count) first.
-TRAIN_DOCS, MAX_GRAMS = 4000, 400_000
+#: Bound of the model: n-grams, each language's equal part of them, the most frequent (with all of the same count) first.
+MAX_GRAMS = 400_000
+#: Different n-grams that a task counts together before it hands them on.
+HELD_GRAMS = 1 << 20
 #: A language contains an n-gram seen so often in it, at this part at least of its best language's rate.
 LEAST_COUNT, LEAST_SHARE = 3, 0.25
 #: Rows of the filter for each n-gram of the language that has most: slices are filled to a third at most.
 ROWS_PER_GRAM = 8
-#: Held-out labelled documents that show how much of a language's own texts is known; and the part of that
-#: which a text must reach to be of the language.
-CUT_DOCS, CUT = 2000, 0.5
+#: The part of what is known of a language's own held-out texts that a text must reach to be of the language; and the
+#: steps between 0 and 1 in which the median over those texts is taken.
+CUT, CUT_STEPS = 0.5, 10_000
 UNKNOWN = "und"
 _BLANK = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -108,30 +110,61 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> Filters | None:
-    """Fit on doc_id, text and lang; rows with a null text or lang teach nothing. None without any."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams and their summed counts."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, lang, n: each language's n-grams, counted over many batches, so that little is sent on for each text."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def give() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            keys, n = _merged(parts)
+            for i in range(0, len(keys), 1 << 16):
+                some = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"gram": some.view(np.int64), "lang": pa.repeat(lang, len(some)), "n": n[i : i + (1 << 16)]})
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        texts, langs = column(batch, "text"), batch.column(batch.schema.get_field_index("lang")).to_pylist()
+        for lang in dict.fromkeys(langs):
+            own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+            for order in ORDERS:
+                held.setdefault(lang, []).append(np.unique(grams(own, order)[0], return_counts=True))
+                size += len(held[lang][-1][0])
+        if size > 2 * HELD_GRAMS:
+            for lang, parts in held.items():
+                held[lang] = [_merged(parts)]
+            size = sum(len(parts[0][0]) for parts in held.values())
+            if size > HELD_GRAMS:
+                yield from give()
+                size = 0
+    yield from give()
+
+
+def train(labelled: DataFrame, train_docs: int | None = None, max_grams: int = MAX_GRAMS) -> Filters | None:
+    """Fit on doc_id, text and lang; rows with a null text or lang teach nothing. None without any.
+
+    All rows teach, unless ``train_docs`` asks for about so many of them (by a hash of doc_id; rare
+    languages have as much on top).
+    """
     rows = labelled.filter("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
     total, languages = sizes.agg(F.sum("rows"), F.count("*")).first()
     if not total:
         return None
-    if total > train_docs:
+    if train_docs is not None and total > train_docs:
         # A stated bound on the sample: the rows of the lowest hashes, of each language an equal part of the bound if it has so many.
         parts = sizes.orderBy(F.desc("rows"), "lang").limit(train_docs).select("lang", (train_docs / languages / F.col("rows")).alias("part"))
         part = F.greatest(F.lit(train_docs / total), F.col("part"))  # greatest skips nulls
         rows = rows.join(F.broadcast(parts), "lang", "left").filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < part * (1 << 30))
 
-    def per_batch(batch: pa.RecordBatch) -> dict:
-        texts, langs = column(batch, "text"), np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object)
-        parts = []
-        for order in ORDERS:
-            keys, owner = grams(texts, order)
-            if len(keys):
-                parts.append(pd.DataFrame({"gram": keys.view(np.int64), "lang": langs[owner]}).value_counts(sort=False).rename("n").reset_index())
-        out = pd.concat(parts) if parts else pd.DataFrame({"gram": [], "lang": [], "n": []})
-        return {"gram": out["gram"].to_numpy(np.int64), "lang": out["lang"].tolist(), "n": out["n"].to_numpy(np.int64)}
-
-    counts = map_batches(rows.select("text", "lang"), per_batch, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    tune(labelled.sparkSession)
+    counts = rows.select("text", "lang").mapInArrow(tidy(_count_grams), "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     counts = spool(counts, "grams")
     # How many n-grams of a language have each count: as many rows as there are different counts.
     held = counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).toPandas().sort_values(["lang", "n"], ascending=[True, False])
@@ -155,17 +188,23 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MA
     return filters
 
 
-def cuts(filters: Filters | None, held_out: DataFrame, cut: float = CUT, most: int = CUT_DOCS) -> np.ndarray | None:
+def _median(steps: np.ndarray, n: np.ndarray) -> float:
+    """Median of values between 0 and 1, of which n lie at each of CUT_STEPS steps."""
+    order = np.argsort(steps)
+    upto = np.cumsum(n[order])
+    middle = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")
+    return float(steps[order][middle].mean()) / CUT_STEPS
+
+
+def cuts(filters: Filters | None, held_out: DataFrame, cut: float = CUT) -> np.ndarray | None:
     """For each language the least known part of a text of it: ``cut`` of the median over its held-out texts.
 
-    held_out: doc_id, text and lang of rows that taught nothing; about ``most`` of them are looked
-    at, by a hash of doc_id. A language without any takes the median of all, and 1 without those.
+    held_out: doc_id, text and lang of rows that taught nothing; all of them are looked at. A
+    language without any takes the median of all, and 1 without those.
     """
     if filters is None:
         return None
     rows = held_out.filter("text is not null and lang is not null and text <> ''")
-    total = rows.count()
-    some = rows.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(total, 1))))
     model = held_out.sparkSession.sparkContext.broadcast(filters)
 
     def per_batch(batch: pa.RecordBatch) -> dict:
@@ -173,9 +212,10 @@ def cuts(filters: Filters | None, held_out: DataFrame, cut: float = CUT, most: i
         best, _, known = filters.decide(column(batch, "text"))
         return {"lang": langs, "own": [filters.languages[b] == lang for b, lang in zip(best.tolist(), langs, strict=True)], "known": known}
 
-    found = map_batches(some.select("text", "lang"), per_batch, "lang string, own boolean, known double").filter("own").toPandas()
-    medians = found.groupby("lang")["known"].median()
-    rest = float(found["known"].median()) if len(found) else 1.0
+    found = map_batches(rows.select("text", "lang"), per_batch, "lang string, own boolean, known double").filter("own")
+    found = found.groupBy("lang", F.round(F.col("known") * CUT_STEPS).cast("long").alias("step")).agg(F.count("*").alias("n")).toPandas()  # CUT_STEPS + 1 rows a language at most
+    medians = {lang: _median(part["step"].to_numpy(), part["n"].to_numpy()) for lang, part in found.groupby("lang")}
+    rest = _median(found["step"].to_numpy(), found["n"].to_numpy()) if len(found) else 1.0
     return cut * np.array([medians.get(lang, rest) for lang in filters.languages])
 
 

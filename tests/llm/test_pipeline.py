@@ -92,3 +92,21 @@ def test_decontamination_fits_on_all_documents_of_the_stage_before(spark, monkey
     kept = [sorted(r.text for r in corpus_pipeline.decontaminate(spark, docs.withColumn("doc_id", docs.doc_id * 3 + shift), SF).collect()) for shift in (0, 1)]
     assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
     assert len(found) == 2 and (found[0] == found[1]).all()
+
+
+def test_language_model_and_cuts_come_from_all_documents(spark):
+    """A word that three of 9000 documents hold is known, and other ids of the same texts give the same model and cuts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = [f"these words stand in every text {letters[i % 26]}{letters[i // 26 % 26]}" + " and more of them" * (i % 7) for i in range(9000)]
+    rare = ["".join(letters[(i // 3 * 7 + k * k) % 26] + "éüøçñ"[i // 3 // 26 % 5] for k in range(5)) for i in range(390)]
+    texts = [f"{t} {rare[i]}" if i < len(rare) else t for i, t in enumerate(common)]
+    found = []
+    for shift in (0, 7_000_000):
+        docs = spark.createDataFrame([(i + shift, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+        held = spark.createDataFrame([(i + shift, t + " qx" * (i % 11), "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+        filters = langid.train(docs)
+        found.append((filters, langid.cuts(filters, held)))
+    assert (found[0][0].table == found[1][0].table).all() and (found[0][1] == found[1][1]).all()
+    assert min(found[0][0].decide([w.encode() for w in rare])[2]) > 0.9
+    known = found[0][0].decide([(t + " qx" * (i % 11)).encode() for i, t in enumerate(texts)])[2]
+    assert abs(found[0][1][0] - langid.CUT * np.median(known)) < 1 / langid.CUT_STEPS
