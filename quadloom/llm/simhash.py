@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,29 +32,61 @@ TREE_NODES = 4096
 #: Members of whole shards that a task holds together, and queries that it searches at once: where all members of a
 #: tree are alike each query visits every node, so memory follows QUERIES * TREE_NODES.
 TOGETHER, QUERIES = 1 << 16, 1 << 9
+#: Bytes of a text that are split into words at once, and hashes whose bits are counted at once: each hash needs 64
+#: bytes and more for that, so memory follows these and not the length of a text.
+PIECE, HASHES = 1 << 18, 1 << 16
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, those of about PIECE bytes at a time."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PIECE)
+        end = blank.start() if blank else len(text)
+        yield words(text[at:end].lower())
+        at = end
 
 
 def fingerprint_batch(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     digest = xxhash.xxh64_digest
-    counts, parts = np.zeros(len(texts), np.int64), []
-    for i, text in enumerate(texts):
-        split = words(text.lower())
-        if len(split) >= shingle:
-            # Shingles are slices of the words joined by single spaces.
-            joined = b" ".join(split)
-            at = [0, *np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1).tolist()]
-            hashes = [digest(joined[a : b - 1], seed) for a, b in zip(at, at[shingle:], strict=False)]
-        else:
-            hashes = [digest(b" ".join(split), seed)] if split else []
-        counts[i] = len(hashes)
-        parts.append(b"".join(hashes))
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
+    counts, ones = np.zeros(len(texts), np.int64), np.zeros((len(texts), 64), np.int64)
+    owners, sizes, parts, held = [], [], [], 0
+
+    def settle() -> None:
+        nonlocal held
         bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8)).reshape(-1, 64)
-        ones = np.add.reduceat(bits, spans(counts[full])[:-1], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > counts[full, None], axis=1).view(">u8").ravel()
-    return out
+        np.add.at(ones, owners, np.add.reduceat(bits, spans(np.array(sizes))[:-1], axis=0, dtype=np.int32))
+        for settled in (owners, sizes, parts):
+            settled.clear()
+        held = 0
+
+    def add(text: int, hashes: list[bytes]) -> None:
+        nonlocal held
+        counts[text] += len(hashes)
+        owners.append(text)
+        sizes.append(len(hashes))
+        parts.append(b"".join(hashes))
+        held += len(hashes)
+        if held >= HASHES:
+            settle()
+
+    for i, text in enumerate(texts):
+        # The last words of a piece, with which the next one's first shingles begin.
+        split: list[bytes] = []
+        for more in _pieces(text):
+            split += more
+            if len(split) >= shingle:
+                # Shingles are slices of the words joined by single spaces.
+                joined = b" ".join(split)
+                at = [0, *np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1).tolist()]
+                add(i, [digest(joined[a : b - 1], seed) for a, b in zip(at, at[shingle:], strict=False)])
+                split = split[len(split) - shingle + 1 :]
+        if split and not counts[i]:
+            add(i, [digest(b" ".join(split), seed)])
+    if parts:
+        settle()
+    return np.packbits(2 * ones > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

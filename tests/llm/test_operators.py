@@ -603,6 +603,32 @@ def test_short_items_among_2000(spark):
     assert all((k, i) in want or decontam.common_subsequence([w.encode() for w in items[i]], [w.encode() for w in host[k]]) >= decontam.PARAPHRASE * len(items[i]) for k, i in got)
 
 
+def test_fingerprints_in_pieces(monkeypatch):
+    """Texts cut into pieces of any size have the fingerprints of whole ones, and a long text takes memory like its own size."""
+    import tracemalloc
+
+    rng = random.Random(11)
+    odd = [b"".join(rng.choice([b"a", b"B", b" ", b"\n", b"\x0b", "\u00e9".encode(), b"\x1c", b"xy"]) for _ in range(rng.randint(0, 50))) for _ in range(400)]
+
+    def plain(text, shingle):
+        ws = text.lower().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + shingle]), 42) for i in range(max(1, len(ws) - shingle + 1))] if ws else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    long = b" ".join(rng.randbytes(3).hex().encode() for _ in range(500_000))
+    tracemalloc.start()
+    whole = simhash.fingerprint_batch([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and int(whole[0]) == plain(long, 3)
+    for shingle in (1, 3):
+        want = [plain(t, shingle) for t in odd]
+        for piece, hashes in ((1, 1), (5, 3), (20, 1 << 16), (1 << 18, 1 << 16)):
+            monkeypatch.setattr(simhash, "PIECE", piece)
+            monkeypatch.setattr(simhash, "HASHES", hashes)
+            assert simhash.fingerprint_batch(odd, shingle).tolist() == want
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, f"the common language speaks of many things and of number {chr(97 + i % 26)} too", "aa") for i in range(2000)] + [(5000 + i, "жили были старик со старухой у самого синего моря", "bb") for i in range(4)]
     filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=20, max_grams=120)
