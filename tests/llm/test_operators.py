@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from brute import plain_patience, removed_by_all_pairs
-from quadloom.llm import bpe, components, decontam, langid, linedup, packing, queries, simhash, substring, toxicity, wavelet, wordpiece
+from quadloom.llm import bpe, components, decontam, langid, linedup, packing, quality, queries, simhash, substring, toxicity, wavelet, wordpiece
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -689,3 +689,22 @@ def test_marks_and_capitals_are_plain_pieces(tokenizer):
     few = bpe.WordIds(bpe.default_path())
     few.encode(pa.array(["\u00c9queench \u00e9queench*** test$$$ TEST%"]))
     assert sorted(few.young.names.to_pylist()) == sorted(["\u00e9queench", "***", "test", "$$$", "%"])
+
+
+def test_line_rules_read_few_texts_at_once(spark, tmp_path):
+    """1000 rows of one Parquet file come in batches of at most 400, so that a task's memory doesn't hold 4096 texts; a session's smaller batches stay."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.createDataFrame([(i, f"Text {i} has a few words.\nAnd another line.") for i in range(1000)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    try:
+        for asked, batches in ((None, 3), (100, 10)):
+            spark.conf.unset(key) if asked is None else spark.conf.set(key, asked)
+            out = quality.measure(spark.read.parquet(str(tmp_path / "docs")))
+            assert len(out.collect()) == 1000
+            todo, found = [out._jdf.queryExecution().executedPlan()], []
+            while todo:
+                plan = todo.pop()
+                found += [plan.metrics().apply("numInputBatches").value()] if plan.nodeName() == "ColumnarToRow" else []
+                todo += [plan.children().apply(i) for i in range(plan.children().size())]
+            assert found == [batches]
+    finally:
+        spark.conf.unset(key)
